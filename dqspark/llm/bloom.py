@@ -32,11 +32,10 @@ class Bloom:
         """Whether the filter may hold the key; never false for a key it was built from. Null: false."""
         if not any(self.packed):
             return F.lit(False)
-        test = F.lit(True)
-        for k in range(self.hashes):
-            at = position(key, self.bits, self.seed, k)
-            byte = F.substring(F.lit(self.packed), F.floor(at / 7).cast("int") + 1, F.lit(1))
-            test = test & (F.getbit(F.ascii(byte.cast("string")), F.pmod(at, F.lit(7)).cast("int")) == 1)
+        # one literal, whatever the number of hash functions
+        places = F.array(*[position(key, self.bits, self.seed, k) for k in range(self.hashes)])
+        byte = lambda at: F.substring(F.lit(self.packed), F.floor(at / 7).cast("int") + 1, F.lit(1))
+        test = F.forall(places, lambda at: F.getbit(F.ascii(byte(at).cast("string")), F.pmod(at, F.lit(7)).cast("int")) == 1)
         return F.coalesce(key.isNotNull() & test, F.lit(False))
 
 

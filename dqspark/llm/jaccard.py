@@ -52,6 +52,12 @@ CLASS_TOKENS = 4
 BAND = 1.25
 
 _U = np.uint64
+#: Counts and index entries go by the leading 48 bits of a hash, which pack well; where two
+#: tokens share these, they count together and their entries fall together, to be told
+#: apart by the verification.
+TOP = _U(2**64 - 2**16)
+#: This bit of an entry tells whether the set is indexed there or only looks there.
+OWN = _U(2**16)
 
 
 @dataclass(frozen=True)
@@ -121,7 +127,7 @@ def _document_counts(documents: DataFrame, s: Similarity) -> DataFrame:
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         for _, data, offsets in slices(batch.column(0)):
-            found = np.concatenate(list(shingle_sets(Words(data, offsets), s.words)))
+            found = np.concatenate(list(shingle_sets(Words(data, offsets), s.words))) & TOP
             yield found, [np.ones(len(found), dtype=np.uint32)]
 
     return count_keys(documents.select("text"), keys_of, 1, lambda w: w[0] >= FREQUENT)
@@ -166,9 +172,9 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
                         for column, value in zip(rows, (0, None, *[0] * SKETCH, b"", []), strict=True):
                             column.append(value)
                         continue
-                    at = np.searchsorted(keys, tokens)
+                    at = np.searchsorted(keys, tokens & TOP)
                     at[at == len(keys)] = 0
-                    known = keys[at] == tokens if len(keys) else np.zeros(n, dtype=bool)
+                    known = keys[at] == tokens & TOP if len(keys) else np.zeros(n, dtype=bool)
                     df = np.where(known, counts[at], 0) if len(keys) else np.zeros(n, dtype=np.int64)
                     order = np.argsort(df, kind="stable")  # tokens are ascending: ties go by hash
                     tokens_, known, place = tokens[order], known[order], mix(tokens[order])
@@ -178,8 +184,7 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
                     for b in range(band(small), band(n) + 1):
                         asks.append(prefix_keys(tokens_, place, known, n - small, b, s))
                     rare_all, pairs_all = np.unique(np.concatenate([a for a, _ in asks])), np.unique(np.concatenate([p for _, p in asks]))
-                    # an entry's last bit tells whether the set is indexed there or only looks there
-                    mark = lambda x, own: x & ~_U(1) | np.isin(x, own).astype(_U)
+                    mark = lambda x, own: x & (TOP ^ OWN) | np.where(np.isin(x, own), OWN, _U(0))
                     rare_all, pairs_all = mark(rare_all, rare[0]), mark(pairs_all, pairs[0])
                     for column, value in zip(rows, (n, set_id(tokens), *sketch(tokens).tolist(), rare_all.tobytes(), pairs_all.view(np.int64)), strict=True):
                         column.append(value)
@@ -230,12 +235,12 @@ def _rare_entries(sets: DataFrame) -> DataFrame:
             keys.append(np.cumsum(from_planes(raw[: 8 * n], _U, n), dtype=_U))
             sids.append(from_planes(raw[8 * n :], np.int64, n))
         keys, sids = np.concatenate(keys), np.concatenate(sids)
-        order = np.lexsort((keys, sids, keys >> _U(1)))
+        order = np.lexsort((keys, sids, keys & ~OWN))
         keys, sids = keys[order], sids[order]
-        entry = keys >> _U(1)
+        entry = keys & ~OWN
         # of a set that is there twice, the row that says it is indexed is the last
         last = np.concatenate([(entry[1:] != entry[:-1]) | (sids[1:] != sids[:-1]), [True]])
-        entry, sids, own = entry[last], sids[last], (keys[last] & _U(1)) == 1
+        entry, sids, own = entry[last], sids[last], (keys[last] & OWN) == OWN
         start = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
         size = np.diff(np.append(start, len(entry)))
         indexed = np.add.reduceat(own.astype(np.int64), start)
@@ -249,9 +254,10 @@ def _rare_entries(sets: DataFrame) -> DataFrame:
 def _pair_entries(sets: DataFrame) -> DataFrame:
     """The same for pairs of frequent tokens, whose entries may have any number of sets."""
     spread = sets.where("sid is not null").select("sid", F.explode("pairs").alias("_key"))
-    rows = spread.groupBy(F.shiftrightunsigned("_key", 1).alias("entry"), "sid").agg(F.bool_or(F.col("_key").bitwiseAND(F.lit(1)) == 1).alias("own"))
-    # an entry's number is made different from those of rare tokens by its sign
-    return rows.select((-1 - F.col("entry")).alias("entry"), "sid", "own")
+    own = F.lit(int(OWN))
+    entry = F.col("_key").bitwiseAND(F.lit(~int(OWN)))
+    rows = spread.groupBy(entry.alias("entry"), "sid").agg(F.bool_or(F.col("_key").bitwiseAND(own) == own).alias("own"))
+    return rows.select((F.col("entry") + 1).alias("entry"), "sid", "own")  # never equal to one of rare tokens
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, s: Similarity) -> DataFrame:
@@ -293,7 +299,7 @@ def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     sets = stored(_sets(docs, s, keys, counts))
     nodes = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(SKETCH)])
     # the entries with more than one set, each with what the bounds need of it
-    entries = _rare_entries(sets).unionAll(_pair_entries(sets))
+    entries = stored(_rare_entries(sets).unionAll(_pair_entries(sets)))
     shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("hub"), F.bool_or("own").alias("any")).where("m > 1 and any").select("entry", "hub")
     members = stored(entries.join(shared, "entry").join(nodes, "sid"))
     # first every member with the least one of its entry
