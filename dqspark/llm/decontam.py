@@ -140,9 +140,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     n_hit: words inside any occurrence of a window; items_sha256: of the ids of the items
     with an occurring window, sorted as strings and joined by commas. Items of one id count
-    once, those without an id not. The documents must be read alike twice, as files are.
+    once, those without an id not.
     """
-    marked = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("_doc"))
+    # rows of one id and one text share their hits, whatever order they are read in
+    marked = documents.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("_doc"))
     found = hits(marked, benchmark, window)
     runs = found.groupBy("_doc", "start").agg(F.max("end").alias("end"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     spans = runs.groupBy("_doc").agg(
