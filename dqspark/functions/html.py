@@ -301,4 +301,4 @@ def tidy_markdown(md: Column) -> Column:
     code = F.regexp_extract_all(md, F.lit(r"(?ms)(^```.*?^```[ \t]*$)"), F.lit(1))
     rest = F.split(md, r"(?ms)^```.*?^```[ \t]*$")
     woven = F.zip_with(F.transform(rest, clean), code, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.trim(F.array_join(woven, ""))
+    return F.regexp_replace(F.array_join(woven, ""), r"^\s+|\s+$", "")

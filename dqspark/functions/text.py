@@ -199,7 +199,7 @@ def _front_matter(block: pd.Series) -> pd.Series:
             if m := re.match(r"^([A-Za-z0-9_\-]+):\s*(.*)$", line):
                 key, value = m[1], m[2].strip()
                 if value.startswith("[") and value.endswith("]"):
-                    out[key] = [v.strip().strip("'\"") for v in re.findall(r"'[^']*'|\"[^\"]*\"|[^,]+", value[1:-1]) if v.strip()]
+                    out[key] = [v.strip().strip("'\"") for v in re.findall(r"\s*('[^']*'|\"[^\"]*\"|[^,]+)", value[1:-1]) if v.strip()]
                 else:
                     out[key] = [value.strip("'\"")] if value else []
             elif key and (m := re.match(r"^\s+-\s+(.*)$", line)):

@@ -86,7 +86,8 @@ def alternation(terms: list[str]) -> str:
 def term_counts(text: Column, terms: list[str]) -> Column:
     """How often each term is the one matched by the leftmost alternation, without overlaps."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({alternation(terms)})"), F.lit(1))
-    return let(found, lambda fs: F.array(*[F.size(F.filter(fs, lambda f, t=t: f == t.lower())) for t in terms]))
+    count = lambda fs, term: F.size(F.filter(fs, lambda f: f == term))
+    return let(found, lambda fs: F.array(*[count(fs, t.lower()) for t in terms]))
 
 
 def search(pages: DataFrame, key: str, text: str, terms: list[str], limit: int | None = 20) -> DataFrame:
