@@ -321,7 +321,15 @@ def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     late = x.join(y, different & once & indexed & _may_link(s, "x", "y")).select(F.least("x.sid", "y.sid").alias("u"), F.greatest("x.sid", "y.sid").alias("v")).distinct()
     more = cut(_verified(late, sets, docs, s))
     if more.head(1):
-        found = cut(connected(links.unionAll(more)))
+        # only components are left to be tied, by what the late links say of them
+        name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+        ties = more.join(name("u"), "u", "left").join(name("v"), "v", "left")
+        ties = ties.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
+        joined = cut(connected(ties))
+        alone = joined.join(found, "node", "left_anti")
+        onto = joined.select(F.col("node").alias("component"), F.col("component").alias("_onto"))
+        moved = found.join(onto, "component", "left").select("node", F.coalesce("_onto", "component").alias("component"))
+        found = cut(moved.unionAll(alone))
     per_doc = sets.select("doc_id", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = per_doc.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return per_doc.join(named, "component", "left").select(
