@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Rows that share a doc_id are taken as one document: they stay or go together in the stages
+that judge by doc_id (near duplicates, decontamination), where rows without an id stay. An
+empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import decontam, jaccard, knn, rules, tokens
+from dqspark.llm import bloom, decontam, jaccard, knn, rules, tokens
 from dqspark.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,14 +39,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five-word shingles, similarity of 0.8) the document of least id."""
     groups = jaccard.near_duplicates(docs, jaccard.Similarity(words=5, num=80, den=100))
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return bloom.without(docs, groups.where("doc_id != component_id"), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a window of a benchmark item occurs."""
     hit = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return bloom.without(docs, hit, "doc_id")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

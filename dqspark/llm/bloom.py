@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dqspark.llm.common import cut
+
 #: No filter takes more bits than this (a megabyte).
 MAX_BITS = 1 << 23
 
@@ -68,3 +70,12 @@ def build(keys: DataFrame, n: int, rate: float, seed: int = 0) -> Bloom:
         group = int.from_bytes(raw[k : k + 7], "little")
         packed += bytes(group >> 7 * j & 127 for j in range(8))
     return Bloom(bits, hashes, seed, bytes(packed))
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in gone. Only rows that a Bloom filter takes for gone are shuffled; null keys stay."""
+    gone = cut(gone.select(key).distinct())
+    n = gone.count()
+    maybe = build(gone.select(F.col(key).alias("key")), n, 0.01).contains(F.col(key))
+    kept = df.where(maybe).join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return df.where(~maybe).unionAll(kept)
