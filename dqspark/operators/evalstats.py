@@ -132,11 +132,24 @@ def votes(judgements: DataFrame, pair: str, winner: str, swapped: str) -> DataFr
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, holdout: float, seed: int = 0) -> DataFrame:
-    """Adds split: of each stratum the floor of its share, at least one, is test, by the order of a hash of the key."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * holdout)).alias("_want"))
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return ranked.join(F.broadcast(sizes), stratum).withColumn("split", F.when(F.col("_rank") <= F.col("_want"), "test").otherwise("train")).drop("_rank", "_want")
+    """Adds split: of each stratum the floor of its share, at least one, is test, by the order of a hash of the key.
+
+    Counts of hash prefixes tell where in the order a stratum's limit falls; only the rows of
+    that one prefix are ranked, so no stratum is sorted as a whole.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_bin", F.substring("_hash", 1, 3))
+    bins = hashed.groupBy(stratum, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    whole, before = Window.partitionBy(stratum), Window.partitionBy(stratum).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.select(
+        stratum, "_bin", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.greatest(F.lit(1), F.floor(F.sum("_n").over(whole) * holdout)).alias("_want")
+    )
+    # of the bins, a stratum has 4096 at most
+    limits = placed.where("_before < _want AND _before + _n >= _want").select(F.col(stratum).alias("_s"), F.col("_bin").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
+    marked = hashed.join(F.broadcast(limits), hashed[stratum].eqNullSafe(F.col("_s")))
+    at = marked.where(F.col("_bin") == F.col("_cut")).withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", key)))
+    at = at.withColumn("split", F.when(F.col("_rank") <= F.col("_left"), "test").otherwise("train"))
+    rest = marked.where(F.col("_bin") != F.col("_cut")).withColumn("split", F.when(F.col("_bin") < F.col("_cut"), "test").otherwise("train"))
+    return rest.select(*df.columns, "split").unionAll(at.select(*df.columns, "split"))
 
 
 def differing(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:

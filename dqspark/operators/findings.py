@@ -22,24 +22,19 @@ def ordered(findings: DataFrame) -> DataFrame:
 def collapse(findings: DataFrame, n: int, samples: int = 10) -> DataFrame:
     """The first n findings of each rule; the rest of a rule as one row with their number and some rows.
 
-    The rest is summed up beside the first n, and a rule's rows are not sorted: the n-th key
-    comes from a bounded heap of each task.
+    Ranks are asked for up to n + samples only, which each task cuts off before the shuffle;
+    the numbers come from a combinable count.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order())])
-    keyed = findings.withColumn("_key", key)
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy("_key")))
-    first = ranked.where(F.col("_rank") <= n).drop("_key", "_rank").withColumn("collapsed", F.lit(None).cast("long"))
-    rest = (
-        ranked.where(F.col("_rank") > n)
-        .groupBy("rule_id")
-        .agg(
-            F.min("table").alias("table"), F.min("column").alias("column"), F.min("severity").alias("severity"),
-            F.count(F.lit(1)).alias("collapsed"),
-            F.array_sort(F.collect_list(F.when(F.col("_rank") <= n + samples, F.col("row")))).alias("rows"),
-        )
-    )
+    ranked = findings.withColumn("_key", key).withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy("_key")))
+    top = ranked.where(F.col("_rank") <= n + samples).drop("_key")
+    first = top.where(F.col("_rank") <= n).drop("_rank").withColumn("collapsed", F.lit(None).cast("long"))
+    totals = findings.groupBy("rule_id").agg(
+        F.min("table").alias("table"), F.min("column").alias("column"), F.min("severity").alias("severity"), (F.count(F.lit(1)) - n).alias("collapsed")
+    ).where("collapsed > 0")
+    some = top.where(F.col("_rank") > n).groupBy("rule_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     text = F.concat(F.col("collapsed").cast("string"), F.lit(" more, such as rows "), F.array_join(F.col("rows").cast("array<string>"), ", "))
-    closing = rest.select(
+    closing = totals.join(some, "rule_id").select(
         "table", F.lit(None).cast("long").alias("row"), "column", "rule_id", "severity", F.lit(None).cast("string").alias("value"),
         text.alias("message"), F.lit(None).cast("string").alias("group"), "collapsed",
     )
