@@ -113,7 +113,7 @@ def entropy(text: Column) -> Column:
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, content), lines numbered from 1."""
-    return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_p", "content")).select(key, (F.col("_p") + 1).alias("line"), "content")
+    return df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("_p", "content")).select(key, (F.col("_p") + 1).cast("long").alias("line"), "content")
 
 
 def long_lines(df: DataFrame, key: str, text: str, limit: int = LONG_LINE) -> DataFrame:

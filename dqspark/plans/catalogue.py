@@ -217,12 +217,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LAYERS_SQL = r"""layers AS (
-  SELECT regexp_extract(url, '://([^/?#]*)', 1) AS layer, regexp_extract(url, '^[^?#]*/([a-z]{2})/', 1) AS name FROM pages)"""
+  SELECT regexp_extract(url, '://[^/?#]*[.]([a-z]+)', 1) AS layer, regexp_extract(url, '^[^?#]*/([a-z]{2}/[0-9]{1,3})', 1) AS name FROM pages)"""
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
-    return read(spark, d, "pages").select(F.regexp_extract(url, r"://([^/?#]*)", 1).alias("layer"), F.regexp_extract(url, r"^[^?#]*/([a-z]{2})/", 1).alias("name"))
+    return read(spark, d, "pages").select(F.regexp_extract(url, r"://[^/?#]*[.]([a-z]+)", 1).alias("layer"), F.regexp_extract(url, r"^[^?#]*/([a-z]{2}/[0-9]{1,3})", 1).alias("name"))
 
 
 @query("f05_duplicates", f"""WITH {_LAYERS_SQL}
@@ -232,9 +232,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f06_invariant", f"""WITH {_LAYERS_SQL}
-SELECT name FROM layers WHERE layer = 'tionsh.example.net' AND name IN (SELECT name FROM layers WHERE layer <> 'tionsh.example.net')""")
+SELECT name FROM layers WHERE layer = 'net' AND name IN (SELECT name FROM layers WHERE layer <> 'net')""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shared(_layers(spark, d), "tionsh.example.net")
+    return graph.shared(_layers(spark, d), "net")
 
 
 @query("f14_reachable", f"""WITH RECURSIVE {_EDGES_SQL}, links AS (
@@ -290,9 +290,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return evalstats.delta(_labelled(spark, d), "lang", "quality", "en", "de", ["source"])
 
 
-@query("e13_percentile", """SELECT lang, quantile_cont(n_chars::DOUBLE, 0.05) AS p5, quantile_cont(n_chars::DOUBLE, 0.5) AS p50, quantile_cont(n_chars::DOUBLE, 0.95) AS p95 FROM documents GROUP BY lang""")
+@query("e13_percentile", """SELECT lang, round(quantile_cont(n_chars::DOUBLE, 0.05), 4) AS p5, round(quantile_cont(n_chars::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(n_chars::DOUBLE, 0.95), 4) AS p95 FROM documents GROUP BY lang""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return evalstats.percentiles(read(spark, d, "documents"), ["lang"], "n_chars", [0.05, 0.5, 0.95])
+    out = evalstats.percentiles(read(spark, d, "documents"), ["lang"], "n_chars", [0.05, 0.5, 0.95])
+    return out.select("lang", *[F.round(c, 4).alias(c) for c in ("p5", "p50", "p95")])
 
 
 @query("e14_bootstrap_ci")
@@ -605,3 +606,88 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("k11_counts_by_kind", "SELECT lang AS kind, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY lang")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+# --- further operators by their ids ----------------------------------------------------------
+
+
+@query("f08_shared_referenced", f"""WITH {_LAYERS_SQL}
+SELECT DISTINCT layer FROM layers WHERE layer <> 'net' AND name IN (SELECT name FROM layers WHERE layer = 'net')""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    layers = _layers(spark, d)
+    root = layers.where("layer = 'net'").select("name").distinct()
+    return layers.where("layer != 'net'").join(root, "name", "left_semi").select("layer").distinct()
+
+
+@query("f10_time_fallback", """SELECT doc_id, coalesce(quality, 1) AS quality FROM documents LEFT JOIN labels USING (doc_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id")
+    return docs.join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"))
+
+
+@query("f12_k07_findings_per_row", """SELECT o_orderkey AS row, count(*) AS n FROM (
+  SELECT o_orderkey FROM orders WHERE NOT o_totalprice <= 300000 UNION ALL SELECT o_orderkey FROM orders WHERE NOT o_orderpriority IN ('1-URGENT', '2-HIGH')) GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = [Rule("price", "o_totalprice", "value <= 300000"), Rule("priority", "o_orderpriority", "in ['1-URGENT', '2-HIGH']")]
+    return run_rules(read(spark, d, "orders"), own, "orders", F.col("o_orderkey")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h06_primary_file", """SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return merge.best(read(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], F.col("n_chars"), ["doc_id"]).select("source", "doc_id")
+
+
+@query("h09_union_metadata", """SELECT lang, min(day) AS created, arg_max(source, {'n': length(source), 's': source}) AS description FROM (
+  SELECT lang, source, DATE '2024-01-01' + CAST(doc_id % 100 AS INT) AS day FROM documents) GROUP BY lang""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 100).cast("int"))
+    own = read(spark, d, "documents").select("lang", day.alias("created"), F.col("source").alias("description"), F.array(F.struct(F.col("source").alias("course"), day.alias("date"))).alias("sources"))
+    return merge.union_metadata(own, "lang").select("lang", "created", "description")
+
+
+@query("h11_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'changed' ELSE p_brand END AS p_brand FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    now = read(spark, d, "part").select("p_partkey", "p_brand")
+    return merge.upsert(now, now.where("p_partkey % 3 = 0").withColumn("p_brand", F.lit("changed")), ["p_partkey"])
+
+
+@query("h12_collisions", """SELECT s_suppkey, CASE WHEN k > 1 THEN n || '-' || k ELSE n END AS name FROM (
+  SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("name"))
+    return merge.resolve_collisions(own, "name", ["s_suppkey"])
+
+
+@query("i38_case_collisions", """SELECT lower(w) AS folded, array_to_string(list_sort(list(DISTINCT w)), ',') AS spellings FROM (
+  SELECT unnest(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1 HAVING count(DISTINCT w) > 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    words = read(spark, d, "benchmark").select(F.explode(F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")).alias("w"))
+    return merge.case_collisions(words, "w").select("folded", F.array_join("spellings", ",").alias("spellings"))
+
+
+@query("k15_pending", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    manifest = docs.where("doc_id % 2 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return merge.pending(docs, manifest, "text").select("doc_id")
+
+
+@query("c09_serial_dates", "SELECT o_orderkey, CAST(o_orderdate::DATE - DATE '1899-12-30' AS DOUBLE) + epoch(o_orderdate - date_trunc('day', o_orderdate)) / 86400 AS serial FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select("o_orderkey", V.date_serial(F.col("o_orderdate")).alias("serial"))
+
+
+@query("c11_formula_escape", """SELECT conv_id, turn, CASE WHEN substr(t, 1, 1) IN ('=', '+', '-', '@') THEN chr(39) || t ELSE t END AS cell
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '=' || text ELSE text END AS t FROM conversations)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("="), F.col("text"))).otherwise(F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", V.escape_formula(t).alias("cell"))
+
+
+@query("b04_overlaps", """WITH s AS (SELECT p_partkey AS id, p_size AS top, p_size + 3 AS bottom, p_partkey % 40 AS l FROM part WHERE p_partkey <= 400)
+SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.id < b.id AND a.top <= b.bottom AND b.top <= a.bottom AND a.l <= b.l + 1 AND b.l <= a.l + 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "part").where("p_partkey <= 400").select(
+        F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
+    )
+    return tables.overlapping(s).select("left_id", "right_id")
