@@ -113,9 +113,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
     out = None
     for size in (SHINGLE, 1):
         own = items.where(F.col("need") >= SHINGLE) if size == SHINGLE else items.where(F.col("need") < SHINGLE)
-        prefixes = cut(_prefixes(docs.select("_words"), own, window, size)) if total else None
-        if prefixes is None or not prefixes.head(1):
+        if not own.head(1):
             continue
+        prefixes = cut(_prefixes(docs.select("_words"), own, window, size))
         shingles = prefixes.select("shingle").distinct()
         places = _occurrences(docs, shingles, shingles.count(), size, window - size)
         sides = prefixes.select(
