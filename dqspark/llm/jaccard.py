@@ -10,9 +10,10 @@ that shares an index entry is a candidate, and candidates are verified on whole
 
 What keeps groups of copies from being expanded into pairs:
 * equal sets are one node from the start;
-* every index entry first ties its members to its least member only; after that, only
-  members in different components still have to meet;
-* a pair meets only if the number of differing bits of two 256-bit parity sketches, a lower
+* every index entry first ties its members to one of them only, that with the fewest rare
+  tokens (of copies with different changes the least changed, which most are similar to);
+  after that, only members in different components still have to meet;
+* a pair meets only if the number of differing bits of two 512-bit parity sketches, a lower
   bound of the number of differing tokens, allows the similarity.
 No pair is dropped except by a proof that it is not similar or already in one component.
 
@@ -139,8 +140,8 @@ def frequent_tokens(documents: DataFrame, s: Similarity) -> tuple[np.ndarray, np
     return found["key"].to_numpy(dtype=np.int64).view(_U), found["w0"].to_numpy(dtype=np.int64), limit
 
 
-#: The parity sketch of a set: bit h(token) mod 256 is set if an odd number of tokens has it.
-SKETCH = 4
+#: The parity sketch of a set: bit h(token) mod 512 is set if an odd number of tokens has it.
+SKETCH = 8
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -148,7 +149,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-_SET_FIELDS = [("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), *[(f"b{k}", pa.int64()) for k in range(SKETCH)], ("rare", pa.binary()), ("pairs", pa.list_(pa.int64())), ("text_key", pa.int64())]
+_SET_FIELDS = [("doc_id", pa.int64()), ("n", pa.int32()), ("odd", pa.int32()), ("sid", pa.int64()), *[(f"b{k}", pa.int64()) for k in range(SKETCH)], ("rare", pa.binary()), ("pairs", pa.list_(pa.int64())), ("text_key", pa.int64())]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -165,11 +166,11 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
         keys, counts = frequent.value
         for batch in batches:
             for first, data, offsets in slices(batch.column(1)):
-                rows: list[list] = [[] for _ in range(SKETCH + 4)]
+                rows: list[list] = [[] for _ in range(SKETCH + 5)]
                 for tokens in shingle_sets(Words(data, offsets), s.words):
                     n = len(tokens)
                     if not n:
-                        for column, value in zip(rows, (0, None, *[0] * SKETCH, b"", []), strict=True):
+                        for column, value in zip(rows, (0, 0, None, *[0] * SKETCH, b"", []), strict=True):
                             column.append(value)
                         continue
                     at = np.searchsorted(keys, tokens & TOP)
@@ -186,13 +187,13 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
                     rare_all, pairs_all = np.unique(np.concatenate([a for a, _ in asks])), np.unique(np.concatenate([p for _, p in asks]))
                     mark = lambda x, own: x & (TOP ^ OWN) | np.where(np.isin(x, own), OWN, _U(0))
                     rare_all, pairs_all = mark(rare_all, rare[0]), mark(pairs_all, pairs[0])
-                    for column, value in zip(rows, (n, set_id(tokens), *sketch(tokens).tolist(), rare_all.tobytes(), pairs_all.view(np.int64)), strict=True):
+                    for column, value in zip(rows, (n, n - int(np.count_nonzero(known)), set_id(tokens), *sketch(tokens).tolist(), rare_all.tobytes(), pairs_all.view(np.int64)), strict=True):
                         column.append(value)
                 own = batch.slice(first, len(offsets) - 1)
                 arrays = [own.column(0), *[pa.array(c, t) for c, (_, t) in zip(rows, _SET_FIELDS[1:-1], strict=True)], own.column(2)]
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in _SET_FIELDS])
 
-    ddl = "doc_id long, n int, sid long, " + ", ".join(f"b{k} long" for k in range(SKETCH)) + ", rare binary, pairs array<long>, text_key long"
+    ddl = "doc_id long, n int, odd int, sid long, " + ", ".join(f"b{k} long" for k in range(SKETCH)) + ", rare binary, pairs array<long>, text_key long"
     return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, ddl)
 
 
@@ -297,13 +298,15 @@ def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys, counts, _ = frequent_tokens(docs, s)
     sets = stored(_sets(docs, s, keys, counts))
-    nodes = sets.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), *[F.first(f"b{k}").alias(f"b{k}") for k in range(SKETCH)])
-    # the entries with more than one set, each with what the bounds need of it
+    bits = [f"b{k}" for k in range(SKETCH)]
+    nodes = sets.where("sid is not null").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "odd", *bits)])
+    # the entries with more than one set
     entries = stored(_rare_entries(sets).unionAll(_pair_entries(sets)))
-    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("hub"), F.bool_or("own").alias("any")).where("m > 1 and any").select("entry", "hub")
-    members = stored(entries.join(shared, "entry").join(nodes, "sid"))
-    # first every member with the least one of its entry
-    ties = members.where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct()
+    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.bool_or("own").alias("any")).where("m > 1 and any").select("entry")
+    members = stored(entries.join(shared, "entry").join(nodes.select("sid", "n", "odd"), "sid"))
+    # first every member with the least changed one of its entry
+    hubs = members.groupBy("entry").agg(F.min(F.struct("odd", "sid")).alias("_h")).select("entry", F.col("_h.sid").alias("hub"))
+    ties = members.join(hubs, "entry").where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct()
     ties = ties.join(nodes.alias("x"), F.col("x.sid") == F.col("u")).join(nodes.alias("y"), F.col("y.sid") == F.col("v")).where(_may_link(s, "x", "y"))
     links = cut(_verified(ties.select("u", "v"), sets, docs, s))
     found = cut(connected(links))
@@ -312,7 +315,7 @@ def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     placed = stored(placed)
     sizes = placed.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("m"))
     split = sizes.groupBy("entry").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1")
-    apart = placed.join(split.select("entry", "main"), "entry")
+    apart = placed.join(split.select("entry", "main"), "entry").join(nodes.select("sid", *bits), "sid")
     x, y = apart.where("component != main").alias("x"), apart.alias("y")
     different = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.component") != F.col("y.component"))
     # two members outside the main component meet once; the shorter set must be indexed there
