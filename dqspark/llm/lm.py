@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from dqspark.llm.counting import count_keys, heaviest
 from dqspark.llm.textbuf import Words, mix, slices
 
-MAX_WORDS, MAX_PAIRS = 1 << 18, 1 << 20
+MAX_WORDS, MAX_PAIRS = 1 << 16, 1 << 18
 #: Least count of a word and of a pair, and the weight of the fallback in counts.
 LEAST, PRIOR = 2, 50.0
 #: Target ids that may be broadcast; more are joined by a shuffle.
