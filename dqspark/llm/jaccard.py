@@ -46,7 +46,7 @@ from dqspark.llm.counting import FLUSH_KEYS, count_keys, from_planes, heaviest,
 from dqspark.llm.textbuf import Words, mix, shingle_sets, slices
 
 #: A token in at least so many documents is frequent; doubled until at most MAX_FREQUENT are.
-FREQUENT, MAX_FREQUENT = 8, 1 << 20
+FREQUENT, MAX_FREQUENT = 8, 1 << 18
 #: Frequent tokens of a prefix for each class, about.
 CLASS_TOKENS = 4
 #: Growth of the lengths in a band; a set is indexed in its own band and looks into those below.
