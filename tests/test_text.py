@@ -107,3 +107,14 @@ def test_improvement_loop(spark):
     assert one(spark, [12.0, 12.5, 30.0, 5.0], loop, "array<double>")["exit_reason"] == "threshold"
     assert tuple(one(spark, [10.5, 9.0, 30.0], loop, "array<double>")) == (10.0, 0, 2, 2, 2, "stagnation")
     assert one(spark, [], loop, "array<double>")["exit_reason"] == "max_iterations"
+
+
+def test_documents(spark):
+    from dqspark.operators import documents
+
+    pages = spark.createDataFrame([(1, True, 3), (1, False, 0), (2, True, 900), (3, False, 1)], "d int, scanned boolean, char_count int")
+    assert sorted(map(tuple, documents.scanned_documents(pages, "d").collect())) == [(1, True), (2, False), (3, False)]
+    old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "d int, k int, t string")
+    new = spark.createDataFrame([(1, 0, "a"), (1, 1, "x"), (1, 2, "c"), (1, 3, "d")], "d int, k int, t string")
+    out = documents.paragraph_diff(old, new, "d", "k", "t").orderBy("pos").collect()
+    assert [tuple(r)[2:] for r in out] == [("equal", "a", "a"), ("replace", "b", "x"), ("equal", "c", "c"), ("insert", None, "d")]
