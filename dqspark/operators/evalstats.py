@@ -143,9 +143,9 @@ def stratified_split(df: DataFrame, key: str, stratum: str, holdout: float, seed
     placed = bins.select(
         stratum, "_bin", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.greatest(F.lit(1), F.floor(F.sum("_n").over(whole) * holdout)).alias("_want")
     )
-    # of the bins, a stratum has 4096 at most
+    # a row for each stratum; a stratum has 4096 bins at most
     limits = placed.where("_before < _want AND _before + _n >= _want").select(F.col(stratum).alias("_s"), F.col("_bin").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_left"))
-    marked = hashed.join(F.broadcast(limits), hashed[stratum].eqNullSafe(F.col("_s")))
+    marked = hashed.join(limits, hashed[stratum].eqNullSafe(F.col("_s")))
     at = marked.where(F.col("_bin") == F.col("_cut")).withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", key)))
     at = at.withColumn("split", F.when(F.col("_rank") <= F.col("_left"), "test").otherwise("train"))
     rest = marked.where(F.col("_bin") != F.col("_cut")).withColumn("split", F.when(F.col("_bin") < F.col("_cut"), "test").otherwise("train"))
