@@ -52,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding them gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = tokens.decode(tokens.encode(docs.select("doc_id", "text"), path), path)
+    encoded = tokens.encode(docs.select("doc_id", "text"), path, decoded=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

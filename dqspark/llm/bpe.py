@@ -19,7 +19,7 @@ import pyarrow as pa
 from dqspark.llm.textbuf import SpanHasher, slices
 
 #: Distinct matches kept by a Python worker; beyond that the cache starts anew.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 
 _LETTER, _NUMBER, _WHITE, _OTHER, _UNKNOWN = range(5)
 _SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")

@@ -41,8 +41,8 @@ def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return tokens.decode(encoded, path).select(
+    encoded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),

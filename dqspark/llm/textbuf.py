@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+#: Bytes and rows handled at once; a longer text is handled alone.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -53,7 +53,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 
 def slices(col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first row, bytes, row offsets into them) for runs of rows of about SLICE_BYTES."""
+    """(index of the first row, bytes, row offsets into them) for runs of rows of about SLICE_BYTES, SLICE_ROWS at most."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
@@ -68,7 +68,7 @@ def slices(col: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, n
     first = 0
     while first < len(col):
         last = int(np.searchsorted(bounds, bounds[first] + SLICE_BYTES, "right")) - 1
-        last = min(max(last, first + 1), len(col))
+        last = min(max(last, first + 1), first + SLICE_ROWS, len(col))
         yield first, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
         first = last
 

@@ -27,9 +27,12 @@ def _framed(df: DataFrame, source: str, results: list[str]) -> DataFrame:
     return df.select(*kept, F.col(f"`{source}`").alias("_source"))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Adds ids, without special tokens; with offsets also starts and ends, in code points of the text."""
-    results = ["ids", "starts", "ends"] if offsets else ["ids"]
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Adds ids, without special tokens; with offsets also starts and ends, in code points of the text.
+
+    decoded: adds the bytes that the ids stand for, as decode() does, in the same pass.
+    """
+    results = ["ids", *(["starts", "ends"] if offsets else []), *(["decoded"] if decoded else [])]
     own = _framed(df, text, results)
     names = own.columns[:-1]
 
@@ -40,9 +43,12 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
                 if offsets:
                     spans = [bpe.decoder(path).offsets(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     out += [_lists(np.concatenate([s[k] for s in spans]), bounds) for k in (0, 1)]
+                if decoded:
+                    back = bpe.decoder(path)
+                    out.append(pa.array([back.decode(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(bounds) - 1).columns[:-1], *out], [*names, *results])
 
-    fields = [StructField(n, ArrayType(IntegerType())) for n in results]
+    fields = [StructField(n, BinaryType() if n == "decoded" else ArrayType(IntegerType())) for n in results]
     return own.mapInArrow(run, StructType([*own.schema.fields[:-1], *fields]))
 
 

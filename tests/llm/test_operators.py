@@ -275,6 +275,8 @@ def test_bpe_round_trip(spark):
             at += len(piece)
         assert at == len(raw)
     assert tokens.decode(tokens.encode(docs.where("false"), JSON), JSON).collect() == []
+    once = tokens.encode(docs, JSON, decoded=True).collect()
+    assert {(r["doc_id"], bytes(r["decoded"]), tuple(r["ids"])) for r in once} == {(r["doc_id"], bytes(r["decoded"]), tuple(r["ids"])) for r in rows}
 
 
 def test_bpe_cache_may_be_full(monkeypatch):
