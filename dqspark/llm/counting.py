@@ -108,6 +108,69 @@ def count_keys(
     return packed.groupBy("r").applyInPandas(reduced, ", ".join(["key long", *(f"{c} long" for c in names)]))
 
 
+def requests(block: int, bits: int, keys: np.ndarray, weights: list[np.ndarray]) -> pa.Table:
+    """What a block asks answer_keys() for: its distinct keys with its own sums of weights, packed by ranges of 2**(64 - bits) keys."""
+    keys, weights = summed(keys, weights)
+    ranges = (keys >> _U(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    spans = list(zip(edges.tolist(), edges[1:].tolist(), strict=False))
+    return pa.table(
+        {
+            "block": pa.array([block] * len(spans), pa.int64()),
+            "r": pa.array([int(ranges[a]) for a, _ in spans], pa.int32()),
+            "n": pa.array([b - a for a, b in spans], pa.int64()),
+            "blob": pa.array([pack(keys[a:b], [w[a:b] for w in weights]) for a, b in spans], pa.binary()),
+        }
+    )
+
+
+REQUEST = "block long, r int, n long, blob binary"
+
+
+def answer_keys(asked: DataFrame, n_weights: int, least: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """(block, r, n, blob) as asked, blob with the sums over all blocks of each of the block's keys, 0 where they don't pass least.
+
+    Each range adds a row without a block that has in sums: the number of its keys that pass, their sums and the sums of all.
+    A block may ask once for a range. No table of all keys is gathered anywhere: a range and a block are the largest pieces.
+    """
+
+    def answered(group: pa.Table) -> pa.Table:
+        sizes = group["n"].to_pylist()
+        parts = [unpack(blob, n, n_weights) for blob, n in zip(group["blob"].to_pylist(), sizes, strict=True)]
+        keys, weights = summed(np.concatenate([k for k, _ in parts]), [np.concatenate([w[i] for _, w in parts]) for i in range(n_weights)])
+        keep = least(weights)
+        found = [np.where(keep, w, 0).astype(_U) for w in weights]
+        packer = zstandard.ZstdCompressor(level=1)
+        blobs = []
+        for own, _ in parts:
+            at = np.searchsorted(keys, own)
+            blobs.append(packer.compress(b"".join(planes(f[at]) for f in found)))
+        sums = [int(keep.sum()), *[int(f.sum()) for f in found], *[int(w.sum()) for w in weights]]
+        r = group["r"][0].as_py()
+        return pa.table(
+            {
+                "block": pa.array([*group["block"].to_pylist(), None], pa.int64()),
+                "r": pa.array([r] * (len(sizes) + 1), pa.int32()),
+                "n": pa.array([*sizes, None], pa.int64()),
+                "blob": pa.array([*blobs, None], pa.binary()),
+                "sums": pa.array([*[None] * len(sizes), sums], pa.list_(pa.int64())),
+            }
+        )
+
+    return asked.groupBy("r").applyInArrow(answered, f"{REQUEST}, sums array<long>")
+
+
+def answers(rows: pa.Table, n_weights: int) -> list[np.ndarray]:
+    """The sums for a block's distinct keys in ascending order, from its rows of answer_keys()."""
+    rows = rows.sort_by("r")
+    found = [[np.zeros(0, dtype=_U)] for _ in range(n_weights)]
+    for blob, n in zip(rows["blob"].to_pylist(), rows["n"].to_pylist(), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=8 * n * n_weights + 1)
+        for i in range(n_weights):
+            found[i].append(from_planes(raw[8 * n * i : 8 * n * (i + 1)], _U, n))
+    return [np.concatenate(f).astype(np.float64) for f in found]
+
+
 def heaviest(counts: DataFrame, weight: str, least: int, most: int) -> tuple[pd.DataFrame, int]:
     """The counted keys of at least a limit, and that limit: least, or the power of two above it from which at most `most` are left."""
     counts = cut(counts)

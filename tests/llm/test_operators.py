@@ -327,6 +327,30 @@ def test_lm_prefers_the_target(spark):
     assert abs(next(r["background_loss"] for r in out if r["doc_id"] == 1) - loss / len(w)) < 1e-4
 
 
+def test_lm_keeps_all_words_and_pairs(spark, monkeypatch):
+    # more words and pairs than any fixed table: 2**17 words, each twice, and 2**18 pairs, each twice
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 200_000, raising=False)
+    size, per = 1 << 17, 1 << 10
+    docs = []
+    for k in range(0, size, per):
+        own = " ".join(f"w{j}" for j in range(k, k + per))
+        docs += [(k, own), (k + 1, own)]
+    docs += [(-1, "w5 w6 never w6"), (-2, None)]
+    out = {r["doc_id"]: r for r in lm.score(frame(spark, docs), spark.createDataFrame([(0,), (per,)], "doc_id long")).collect()}
+    assert len(out) == len(docs) and out[-2]["score"] == 0.0
+    total = (2 * per, 2 * size + 4)
+    for at, starts, unknown in ((0, 2, 0), (1, len(docs), 1)):
+        single = lambda n: (n + 0.5) / (total[at] + 0.5 * (size + 1))  # noqa: B023, E731
+        loss = lambda pair, n, before: -np.log((pair + lm.PRIOR * single(n)) / (before + lm.PRIOR))  # noqa: B023, E731
+        # a document of words 3 * per and on: outside of the target, twice in all
+        seen = 0 if at == 0 else 2
+        want = (loss(seen, seen, starts) + (per - 1) * loss(seen, seen, seen)) / per
+        assert abs(out[3 * per][("target_loss", "background_loss")[at]] - want) < 1e-5
+        w5, w6, pair = (1, 1, 1) if at == 0 else (3, 4, 3)
+        want = (loss(0, w5, starts) + loss(pair, w6, w5) + loss(0, unknown, w6) + loss(0, w6, unknown)) / 4
+        assert abs(out[-1][("target_loss", "background_loss")[at]] - want) < 1e-5
+
+
 # 8
 
 
