@@ -65,17 +65,16 @@ def bad_prefixes(footnotes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return footnotes.join(good, ["name", "target"], "left_anti")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Names reachable from the roots: a frontier joined with the edges until it is empty."""
     seen = roots.select("name").distinct().checkpoint()
     frontier = seen
-    for _ in range(most):
+    while True:  # ends, as each round but the last adds a name
         step = edges.join(frontier, edges["src"] == frontier["name"]).select(F.col("target").alias("name")).distinct()
         frontier = step.join(seen, "name", "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(frontier).checkpoint()
-    return seen
 
 
 def alternation(terms: list[str]) -> str:
