@@ -26,8 +26,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LEVEL, CHUNK_BYTES = 3, 4096
 #: (texts of at least so many bytes, least ratio, greatest ratio) of whole texts, by length.
 WHOLE_BANDS = ((0, 0.4, 2.6), (256, 1.1, 2.7), (1024, 1.3, 3.0), (4096, 1.45, 3.3), (16384, 1.5, 3.6), (65536, 1.5, 4.0))
-#: Least and greatest ratio of a full chunk, and the share of full chunks that may lie outside.
-CHUNK_BAND, MAX_ODD_CHUNKS = (1.3, 4.0), 0.5
+#: Least and greatest ratio of a chunk, and the share of chunks that may lie outside. Chunks of base64 have up to 1.34, of prose over 2.
+CHUNK_BAND, MAX_ODD_CHUNKS = (1.45, 4.0), 0.1
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -36,16 +36,21 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def ratios(raw: memoryview | bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks outside CHUNK_BAND."""
+    """Ratio of the whole text, and the share of its chunks outside CHUNK_BAND: the full ones, and one that ends with the text.
+
+    A text shorter than a chunk has none, its whole ratio tells.
+    """
     if not len(raw):
         return 1.0, 0.0
     whole = len(raw) / len(packer.compress(raw))
-    full = len(raw) // CHUNK_BYTES
+    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if starts and len(raw) % CHUNK_BYTES:
+        starts.append(len(raw) - CHUNK_BYTES)
     odd = 0
-    for k in range(full):
-        own = CHUNK_BYTES / len(packer.compress(raw[k * CHUNK_BYTES : (k + 1) * CHUNK_BYTES]))
+    for at in starts:
+        own = CHUNK_BYTES / len(packer.compress(raw[at : at + CHUNK_BYTES]))
         odd += not CHUNK_BAND[0] <= own <= CHUNK_BAND[1]
-    return whole, odd / full if full else 0.0
+    return whole, odd / len(starts) if starts else 0.0
 
 
 def in_bands(size: int, whole: float, odd: float) -> bool:

@@ -239,6 +239,18 @@ def test_compression_bands(spark):
     assert out == {0: False, 1: True, 2: False}
 
 
+def test_compression_bands_reject_half_junk(spark):
+    rng = random.Random(7)
+    syllables = "the an tion re in ou er st nd ha ly ble ing sh wh ea on at es of".split()
+    clean = " ".join("".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3]))) for _ in range(8000))
+    junk = "".join(chr(rng.randrange(33, 127)) for _ in range(20_480))
+    base = base64.b64encode(bytes(rng.randrange(256) for _ in range(15_360))).decode()
+    docs = [clean[:20_480] + junk, clean[:4096] + junk[:4095], clean[:20_480] + base, clean[:40_960], clean[:8191], clean[:5000]]
+    out = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(list(enumerate(docs)), ROWS)).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert [out[k]["kept"] for k in range(6)] == [False, False, False, True, True, True]
+
+
 # 6
 
 
