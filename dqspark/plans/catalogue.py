@@ -691,3 +691,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
     )
     return tables.overlapping(s).select("left_id", "right_id")
+
+
+# --- whole tables: the queries of the same names without _all read a part, as their SQL does -------
+
+
+@query("b02_islands_all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    days = read(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"))
+    runs = tables.islands(days, ["l_suppkey"], "day", 2)
+    return runs.groupBy("l_suppkey", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
+
+
+@query("b04_overlaps_all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "part").select(
+        F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
+    )
+    return tables.overlapping(s, cell=8).select("left_id", "right_id")
