@@ -709,3 +709,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
     )
     return tables.overlapping(s, cell=8).select("left_id", "right_id")
+
+
+@query("f02_orphans_all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.orphans(_edges(spark, d), _listed(spark, d))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages for the orphan test, linked or not: the last path segment of each page's own url."""
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    own = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)
+    return read(spark, d, "pages").select(own.alias("name")).where("name != ''").distinct().withColumn("kind", F.lit("concept"))

@@ -29,3 +29,12 @@ def test_islands_and_overlaps_of_all_ids(spark, tmp_path):
     meet = lambda a, b: abs(a[1] - b[1]) <= 3 and abs(a[0] % 40 - b[0] % 40) <= 1
     want = sorted((a[0], b[0]) for a in parts for b in parts if a[0] < b[0] and meet(a, b))
     assert sorted(tuple(r) for r in QUERIES["b04_overlaps_all"](spark, str(tmp_path)).collect()) == want
+
+
+def test_orphans_by_the_links_of_all_pages(spark, tmp_path):
+    link = lambda name: f'<a href="/x/{name}">x</a>'
+    html = {0: link("c1"), 9: link("c0"), 10: link("c2"), 1234: link("c3") + link("c4")}
+    ids = [0, 1, 2, 3, 4, 5, 9, 10, 1234]
+    spark.createDataFrame([(k, f"https://h.example/a/c{k}?q=1", html.get(k, "")) for k in ids], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    out = sorted(r["name"] for r in QUERIES["f02_orphans_all"](spark, str(tmp_path)).collect())
+    assert out == ["c10", "c1234", "c5", "c9"]  # c2, c3 and c4 have links from page10 and page1234 only
