@@ -721,3 +721,9 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
     path = F.regexp_extract("url", r"^([^?#]*)", 1)
     own = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)
     return read(spark, d, "pages").select(own.alias("name")).where("name != ''").distinct().withColumn("kind", F.lit("concept"))
+
+
+@query("c15_c16_slug_id_all")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", V.slug(t).alias("slug"), V.stable_id(t).alias("id"), V.content_hash(t).alias("content_hash"))

@@ -38,3 +38,12 @@ def test_orphans_by_the_links_of_all_pages(spark, tmp_path):
     spark.createDataFrame([(k, f"https://h.example/a/c{k}?q=1", html.get(k, "")) for k in ids], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     out = sorted(r["name"] for r in QUERIES["f02_orphans_all"](spark, str(tmp_path)).collect())
     assert out == ["c10", "c1234", "c5", "c9"]  # c2, c3 and c4 have links from page10 and page1234 only
+
+
+def test_slugs_of_whole_texts(spark, tmp_path):
+    head = "The same first words, many of them, for more than sixty characters: "
+    rows = [(1, head + "Straße No. 1"), (2, head + "two!"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["slug"] for r in QUERIES["c15_c16_slug_id_all"](spark, str(tmp_path)).collect()}
+    start = "the-same-first-words-many-of-them-for-more-than-sixty-characters-"
+    assert out == {1: start + "straße-no-1", 2: start + "two", 3: None}
