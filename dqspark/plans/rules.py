@@ -200,7 +200,7 @@ def parse_check(check: Any, depth: int = 0) -> Node:
 
 
 def rules_from(source: str | list[dict]) -> list[Rule]:
-    """From JSON text {"version": 1, "defaults": {...}, "rules": [...]} or a list of rules; ids are unique."""
+    """From JSON text {"version": 1, "defaults": {...}, "rules": [...]} or a list of rules; ids are unique, unknown keys (such as a scope) are refused."""
     if isinstance(source, str):
         if len(source) > 1 << 20:
             raise RuleError("the rules file is too large")
@@ -217,7 +217,9 @@ def rules_from(source: str | list[dict]) -> list[Rule]:
     else:
         defaults, items = {}, source
     known = set(Rule.__dataclass_fields__)
-    out = [Rule(**{k: v for k, v in (defaults | item).items() if k in known}) for item in items]
+    if odd := sorted({k for item in [defaults, *items] for k in item} - known):
+        raise RuleError(f"unknown keys: {odd}")
+    out = [Rule(**(defaults | item)) for item in items]
     if len({r.id for r in out}) < len(out):
         raise RuleError("a rule id is used twice")
     if bad := [r.id for r in out if r.severity not in SEVERITIES]:

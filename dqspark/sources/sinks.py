@@ -89,10 +89,8 @@ def write_findings(findings: DataFrame, path: str, summarise_after: int = 100, m
 
 
 def error_cells(cells: DataFrame) -> DataFrame:
-    """(value, n, places) of error codes in long-form cells, ten places each."""
-    errors = cells.where(F.col("value").isin(*V.ERROR_CODES))
-    place = F.concat(F.col("sheet"), F.lit("!R"), F.col("row").cast("string"), F.lit("C"), F.col("col").cast("string"))
-    return errors.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.when((F.col("row") <= 1000), place))), 1, 10).alias("places"))
+    """(value, sheet, row, col) of each error code in long-form cells."""
+    return cells.where(F.col("value").isin(*V.ERROR_CODES)).select("value", "sheet", "row", "col")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:

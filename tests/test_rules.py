@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators import findings
 from dqspark.plans.rules import Rule, RuleError, parse_check, rules_from, run_rules
+from dqspark.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,15 @@ def test_collapse_cap_and_counters(spark, table):
     assert (counters["errors"], counters["warnings"], counters["exit_code"]) == (4, 4, 1)
     marked = findings.remarks(table.withColumn("remarks", F.lit("old")), "id", found, "append")
     assert marked.where("id = 4").first()["remarks"].startswith("old; ")
+
+
+def test_unknown_rule_keys_are_refused():
+    with pytest.raises(RuleError):
+        rules_from([{"id": "a", "column": "n", "check": "value > 1", "scope": "A1:A9"}])
+    with pytest.raises(RuleError):
+        rules_from(json.dumps({"version": 1, "defaults": {"sheet": "x"}, "rules": []}))
+
+
+def test_every_error_cell_is_listed(spark):
+    cells = spark.createDataFrame([("s", k, 1, "#N/A") for k in (*range(1, 15), 1001, 2000)] + [("s", 3000, 2, "fine")], "sheet string, row int, col int, value string")
+    assert sorted(tuple(r) for r in sinks.error_cells(cells).collect()) == [("#N/A", "s", k, 1) for k in (*range(1, 15), 1001, 2000)]
