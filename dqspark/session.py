@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,35 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="dqspark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path under dqspark/<application id> in the shared folder, which may be removed when the application has ended."""
+    return f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def put_file(spark: SparkSession, path: str, content: str | bytes) -> None:
+    """Writes a small file on any file system of Spark's: aside first, then renamed, so that readers see all of it or nothing."""
+    jvm = spark.sparkContext._jvm
+    target, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"{path} could not be put in place")
