@@ -3,7 +3,10 @@
 The merges never cross a match of the pre-tokenization pattern, so a text is cut into
 those matches once (vectorised over bytes), each distinct match is handed to the library
 once and its ids are kept in a bounded cache, and the ids of a text are gathered from it.
-A text with code points that this Python does not know goes through the library whole.
+Matches of up to seven bytes are their own keys in the cache; longer ones go by a hash, and
+their bytes are kept and compared. A text goes through the library whole if it has code
+points that this Python does not know, if two of its matches share a hash, or if it holds a
+special token that the library is to recognise.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from dqspark.llm.textbuf import SpanHasher, slices
+from dqspark.llm.textbuf import Spans, slices
 
 #: Distinct matches kept by a Python worker; beyond that the cache starts anew.
 CACHE_ENTRIES = 1 << 19
@@ -119,14 +122,19 @@ def match_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Encoder:
-    """Ids of whole texts, by a tokenizer file of the tokenizers library."""
+    """Ids of whole texts, by a tokenizer file of the tokenizers library.
 
-    def __init__(self, path: str):
+    special: a special token that stands in a text gets its own id, as the library gives it
+    unless told otherwise; else it is encoded like any other characters.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.token_bytes = decoder(path).length
         self._forget()
 
@@ -140,6 +148,10 @@ class Encoder:
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.int32)
+        #: Of each key where its match starts in text, and its length.
+        self.text_at = np.zeros(0, dtype=np.int64)
+        self.text_size = np.zeros(0, dtype=np.int64)
+        self.text = Spans(np.zeros(0, dtype=np.uint8))
 
     def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of matches, each encoded for itself, and their number for each."""
@@ -165,16 +177,52 @@ class Encoder:
                 size[which], at[which] = n, base + np.cumsum(n) - n
                 flat.append(ids)
                 base += len(ids)
+        # only of matches that go by a hash are the bytes needed
+        hashed = [w if key >> 63 else b"" for w, key in zip(words, keys.tolist(), strict=True)]
+        lengths = np.fromiter(map(len, hashed), dtype=np.int64, count=len(hashed))
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.at = np.insert(self.at, place, at)
         self.size = np.insert(self.size, place, size)
+        self.text_at = np.insert(self.text_at, place, len(self.text.data) + np.cumsum(lengths) - lengths)
+        self.text_size = np.insert(self.text_size, place, lengths)
+        self.text = Spans(np.concatenate([self.text.data, np.frombuffer(b"".join(hashed), dtype=np.uint8)]))
         self.flat = np.concatenate(flat)
 
+    def _clashing(self, spans: Spans, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The matches (by index) that are not those whose ids the cache holds at place."""
+        own = np.flatnonzero(self.keys[place] >> np.uint64(63))
+        size, where = ends[own] - starts[own], place[own]
+        same = size == self.text_size[where]
+        same[same] = spans.same(starts[own[same]], size[same], self.text, self.text_at[where[same]])
+        return own[~same]
+
+    @staticmethod
+    def _keys(spans: Spans, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A match of up to seven bytes as a number with its length; of longer ones a hash, with the highest bit set."""
+        size = ends - starts
+        keys = spans.eight(starts, size) | size.astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(size > 7)
+        keys[long] = spans.hash(starts[long], ends[long]) | np.uint64(1 << 63)
+        return keys
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold a special token."""
+        found = np.zeros(len(offsets) - 1, dtype=bool)
+        raw = data.tobytes() if self.special else b""
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                found[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
+        return found
+
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, unknown = match_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(SpanHasher(data)(starts, ends), return_index=True, return_inverse=True)
+        spans = Spans(data)
+        unknown |= self._whole(data, offsets)
+        keys, first, inverse = np.unique(self._keys(spans, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE_ENTRIES:
             self._forget()
         place = np.searchsorted(self.keys, keys)
@@ -187,6 +235,7 @@ class Encoder:
             plain = (data[starts[first[new]]] == 0x20) & self.is_letter(data, starts[first[new]] + 1)
             self._learn(keys[new], [view[a:b] for a, b in pairs], plain)
             place = np.searchsorted(self.keys, keys)
+        unknown[np.searchsorted(offsets, starts[self._clashing(spans, starts, ends, place[inverse])], "right") - 1] = True
         at, size = self.at[place][inverse], self.size[place][inverse]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(at - total[:-1], size)] if total[-1] else self.flat[:0]
@@ -230,8 +279,8 @@ class Decoder:
         """Tokens may end inside a character; only their whole sequence is UTF-8."""
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
-    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each token in code points of the decoded text.
+    def offsets(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each token in code points of its row's decoded text; bounds: the rows' places in ids.
 
         A token that starts or ends inside a character covers that whole character, so
         neighbours can share one.
@@ -242,18 +291,19 @@ class Decoder:
         leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         inside = np.zeros(len(data) + 1, dtype=np.int64)
         inside[:-1] = (data & 0xC0) == 0x80
-        return leads[starts] - inside[starts], leads[ends]
+        base = np.repeat(leads[np.concatenate([[0], ends])[bounds[:-1]]], np.diff(bounds))
+        return leads[starts] - inside[starts] - base, leads[ends] - base
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 _decoders: dict[str, Decoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """One for each worker process and file, so that its cache serves all its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 def decoder(path: str) -> Decoder:

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dqspark.session import scratch, shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Most rows and bytes of an Arrow batch between Spark and a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH; smaller bounds that are set stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key)
+        size = int(now) if now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Lets the system have the memory that this Python worker has freed, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def batch_text(batch: pa.RecordBatch, path: list[str]) -> pa.Array:
+    """A column of a batch, or a field of a struct column that is never null, by names."""
+    found = batch.column(batch.schema.names.index(path[0]))
+    for name in path[1:]:
+        found = found.field(name)
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,19 +51,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; local sessions without one get a temporary folder."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="dqspark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed now and kept in the shared folder, without lineage."""
     shared_dir(df.sparkSession)
@@ -44,8 +62,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     The files lie under dqspark/<application id> in the shared folder.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,8 @@ All documents are scored, each over its whole text.
 
 Nulls and empty texts have no n-grams; their score is that of the nearest neighbours of an
 empty text. Labels without doc_id or value are not used, repeated ones only if they agree;
-without any label the score is 0.5. Ties among neighbours share the vote. Repeated rows get
+without any label the score is 0.5. Of several rows of a labelled doc_id the one of the least
+text trains. Ties among neighbours share the vote. Repeated rows get
 equal scores; further columns are left out; an empty table gives an empty result.
 """
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from dqspark.llm.common import batch_text, give_back, small_batches
 from dqspark.llm.textbuf import Words, slices
 
 SAMPLE, RANK, NEIGHBOURS, POWER = 1500, 64, 25, 8
@@ -95,14 +97,13 @@ class Model:
     project: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
-    prior: float
 
     def embed(self, x: np.ndarray) -> np.ndarray:
         y = (x - self.centre) @ self.project
         return y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Label 1 votes with the POWER of the cosine, so does label 0; both count by their share of the sample."""
+        """The share of label 1 in the votes of the nearest vectors, each of the POWER of its cosine."""
         if not len(self.vectors):
             return np.full(len(x), 0.5)
         y = self.embed(x)
@@ -120,13 +121,13 @@ class Model:
 def fit(x: np.ndarray, labels: np.ndarray) -> Model:
     """From the features and labels (0 or 1) of the sample."""
     if not len(x):
-        return Model(np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), labels, 0.5)
+        return Model(np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), labels)
     centre = x.mean(axis=0)
     moved = x - centre
     values, vectors = np.linalg.eigh((moved.T @ moved).astype(np.float64))
     project = vectors[:, ::-1][:, :RANK].astype(np.float32)
-    blank = Model(centre, project, np.zeros((0, RANK), np.float32), labels, 0.5)
-    return Model(centre, project, blank.embed(x).astype(np.float32), labels.astype(np.float64), float(labels.mean()))
+    blank = Model(centre, project, np.zeros((0, RANK), np.float32), labels)
+    return Model(centre, project, blank.embed(x).astype(np.float32), labels.astype(np.float64))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,9 +136,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _feature_rows(documents: DataFrame, kept: str) -> DataFrame:
+    small_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), BLOCK):
                 x = features(data, offsets)
                 part = batch.slice(first, len(offsets) - 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], [kept, "x"])
@@ -162,28 +165,30 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mo
         return fit(np.zeros((0, BUCKETS + EXTRAS), np.float32), np.zeros(0))
     spark = documents.sparkSession
     chosen = F.broadcast(spark.createDataFrame(pd.DataFrame({"doc_id": [r["doc_id"] for r in ids], "y": [r["y"] for r in ids]})))
-    found = _feature_rows(documents.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "y").toPandas()
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = _feature_rows(rows, "y").toPandas()
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(len(found), BUCKETS + EXTRAS)
     y = found["y"].to_numpy(dtype=np.float64)
     order = np.lexsort((*x.T[:8], x[:, BUCKETS + 1], y))  # the same whatever order the rows came in
     return fit(x[order], y[order])
 
 
-def score(documents: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns named) with score and predicted for each document."""
+def score(documents: DataFrame, model: Model, within: str | None = None) -> DataFrame:
+    """doc_id with score and predicted for each document; or, instead of doc_id, a struct column that has the text."""
     spark = documents.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    columns = ["doc_id"] if extra is None else extra
+    path, kept = ([within, "text"], within) if within else (["text"], "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            for first, data, offsets in slices(batch.column(batch.num_columns - 1)):
+            for first, data, offsets in slices(batch_text(batch, path), BLOCK):
                 scores = model.score(features(data, offsets))
                 part = batch.slice(first, len(offsets) - 1)
                 mark = pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64()), mark], [*columns, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), mark], [kept, "score", "predicted"])
+            give_back()
 
-    own = documents.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"))
-    schema = StructType([*own.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return own.mapInArrow(run, schema)
+    own = documents.select(within) if within else documents.select("doc_id", "text")
+    return own.mapInArrow(run, StructType([own.schema.fields[0], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))

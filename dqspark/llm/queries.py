@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import chat, decontam, jaccard, knn, lm, rules, shard, tokenfile, tokens, urlfilter
-from dqspark.llm.common import literal_rows, shared_dir, table
+from dqspark.llm.common import literal_rows, table
+from dqspark.session import scratch
 
 #: The rules of the url query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -41,12 +41,13 @@ def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded=True)
+    encoded = tokens.encode(table(spark, sf_dir, "documents"), path, offsets=True, decoded=True, keep=["doc_id"])
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("n_chars"),
     )
 
 
@@ -56,7 +57,7 @@ def op7_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     documents = table(spark, sf_dir, "documents")
     tokenfile.write_tokens(documents, path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokenfile.with_checksum(tokenfile.read_tokens(spark, path, documents.schema["doc_id"].dataType.simpleString()))
