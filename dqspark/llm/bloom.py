@@ -2,6 +2,7 @@
 
 A filter is one binary literal, built by one aggregation over bit positions and read
 inside whichever expression asks, so a membership test needs neither join nor Python.
+Null keys are in no filter; an empty table gives a filter that holds nothing.
 """
 
 from __future__ import annotations
@@ -45,16 +46,16 @@ def position(key: Column, bits: int, seed: int, k: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed * 64 + k), key), F.lit(bits).cast("long"))
 
 
-def size_for(n: int, rate: float) -> tuple[int, int]:
-    """Bits, a multiple of 56 of about MAX_BITS at most, and hash functions for n keys at a false positive rate."""
-    bits = min(MAX_BITS, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2))
+def size_for(n: int, rate: float, most: int | None = None) -> tuple[int, int]:
+    """Bits, a multiple of 56 of about so many (MAX_BITS) at most, and hash functions for n keys at a false positive rate."""
+    bits = min(most or MAX_BITS, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2))
     bits = (bits + 55) // 56 * 56
     return bits, max(1, min(round(-math.log2(rate)), round(bits / max(n, 1) * math.log(2))))
 
 
-def build(keys: DataFrame, n: int, rate: float, seed: int = 0) -> Bloom:
-    """Of the column key of a table of about n rows, repeated ones allowed. Only its bits reach the driver."""
-    bits, hashes = size_for(n, rate)
+def build(keys: DataFrame, n: int, rate: float, seed: int = 0, most: int | None = None) -> Bloom:
+    """Of the column key of a table of about n rows, repeated ones allowed. Only its bits, so many at most, reach the driver."""
+    bits, hashes = size_for(n, rate, most)
     at = F.explode(F.array(*[position(F.col("key"), bits, seed, k) for k in range(hashes)]))
     pages = (
         keys.where(F.col("key").isNotNull())
@@ -63,7 +64,7 @@ def build(keys: DataFrame, n: int, rate: float, seed: int = 0) -> Bloom:
         .agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_PAGE))).alias("bitmap"))
     )
     raw = bytearray(-(-bits // _PAGE) * _PAGE // 8)
-    for row in pages.collect():  # MAX_BITS / _PAGE rows at most
+    for row in pages.collect():  # bits / _PAGE rows at most
         raw[row["page"] * _PAGE // 8 : (row["page"] + 1) * _PAGE // 8] = row["bitmap"]
     packed = bytearray()
     for k in range(0, bits // 8, 7):
@@ -72,6 +73,21 @@ def build(keys: DataFrame, n: int, rate: float, seed: int = 0) -> Bloom:
     return Bloom(bits, hashes, seed, bytes(packed))
 
 
+def holds(n: int, rate: float, most: int | None = None) -> bool:
+    """Whether a filter of at most so many bits (MAX_BITS) has the rate for n keys."""
+    return n * -math.log(rate) / math.log(2) ** 2 <= (most or MAX_BITS)
+
+
+def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is in keys (stored, of one column), and a few others: those that a Bloom filter takes for such.
+
+    More keys than a filter holds are joined, and only rows that the full filter lets through are shuffled.
+    """
+    n = keys.count()
+    maybe = df.where(build(keys.select(F.col(key).alias("key")), n, 0.01).contains(F.col(key)))
+    return maybe if holds(n, 0.01) else maybe.join(keys.distinct(), key, "left_semi")
+
+
 def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not in gone. Only rows that a Bloom filter takes for gone are shuffled; null keys stay."""
     gone = cut(gone.select(key).distinct())

@@ -3,7 +3,12 @@
 A map task sorts the keys of its input, sums their weights, and packs each range of keys
 as byte planes of differences, compressed: three to four bytes for a key instead of some
 twenty for a row. A reduce group is one range of keys; hot keys arrive once from each
-task, so no key makes a group large.
+task, so no key makes a group large. The number of ranges grows with the input. A task's
+keys can be cut well into so many ranges only; where more are needed, tasks that each have
+a part of a few wide ranges merge what they get and cut it again.
+
+Keys are never null (their makers leave out null and empty texts); an empty table has no
+keys and gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +22,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import cut
+from dqspark.llm.common import cut, give_back, small_batches
 
-#: Keys that a map task sorts at once.
-FLUSH_KEYS = 1 << 21
+#: Keys that a map task sorts at once, and leading bits of the ranges that it cuts them into at most.
+FLUSH_KEYS, COARSE_BITS = 1 << 21, 12
 
 _U = np.uint64
 
@@ -35,17 +40,18 @@ def from_planes(raw: bytes, dtype: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(dtype).reshape(n)
 
 
-def pack(keys: np.ndarray, weights: list[np.ndarray]) -> bytes:
-    """Ascending uint64 keys and uint32 weights as one compressed value."""
-    raw = planes(np.diff(keys, prepend=_U(0))) + b"".join(planes(w.astype(np.uint32)) for w in weights)
+def pack(keys: np.ndarray, arrays: list[np.ndarray]) -> bytes:
+    """Ascending uint64 keys and arrays of integers beside them as one compressed value."""
+    raw = planes(np.diff(keys, prepend=_U(0))) + b"".join(map(planes, arrays))
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def unpack(blob: bytes, n: int, n_weights: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=n * (8 + 4 * n_weights) + 1)
-    keys = np.cumsum(from_planes(raw[: 8 * n], _U, n), dtype=_U)
-    at = [8 * n + 4 * n * k for k in range(n_weights + 1)]
-    return keys, [from_planes(raw[a:b], np.uint32, n) for a, b in zip(at, at[1:], strict=False)]
+def unpack(blob: bytes, n: int, dtypes: list[type]) -> tuple[np.ndarray, list[np.ndarray]]:
+    sizes = [8, *[np.dtype(d).itemsize for d in dtypes]]
+    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=n * sum(sizes) + 1)
+    at = np.cumsum([0, *sizes]) * n
+    keys = np.cumsum(from_planes(raw[: at[1]], _U, n), dtype=_U)
+    return keys, [from_planes(raw[a:b], d, n) for a, b, d in zip(at[1:], at[2:], dtypes, strict=False)]
 
 
 def summed(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -56,9 +62,59 @@ def summed(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, lis
     return keys[first], [np.add.reduceat(w[order].astype(np.int64), first) if len(first) else w[:0] for w in weights]
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in ascending order and how often each is there; sorts in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], [np.diff(np.append(first, len(keys)))]
+
+
 def range_bits(df: DataFrame) -> int:
     """So many leading bits of a key name its range that a range holds less than a map task's keys."""
-    return min(16, max(4, (4 * df.rdd.getNumPartitions() - 1).bit_length()))
+    return min(24, max(4, (4 * df.rdd.getNumPartitions() - 1).bit_length()))
+
+
+def spread(keys: np.ndarray, arrays: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """A row (r, n, blob) for each range of the ascending keys, named by their leading bits."""
+    ranges = (keys >> _U(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    out = [(int(ranges[a]), int(b - a), pack(keys[a:b], [x[a:b] for x in arrays])) for a, b in zip(edges, edges[1:], strict=False)]
+    cols = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["r", "n", "blob"])
+
+
+RANGE = "r int, n long, blob binary"
+
+#: Arrays beside keys from several parts, brought together.
+Merge = Callable[[list[tuple[np.ndarray, list[np.ndarray]]]], tuple[np.ndarray, list[np.ndarray]]]
+
+
+def first_bits(bits: int) -> int:
+    """Leading bits that name the ranges which map tasks cut their keys into."""
+    return min(bits, COARSE_BITS)
+
+
+def cut_again(packed: DataFrame, bits: int, parts: int, dtypes: list[type], merge: Merge) -> DataFrame:
+    """The rows of spread(..., first_bits(bits)) as such of all bits; of as many tasks as there are parts of the input."""
+    coarse = first_bits(bits)
+    if coarse == bits:
+        return packed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for size, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append(unpack(blob, size, dtypes))
+                n += size
+                if n >= FLUSH_KEYS:
+                    yield spread(*merge(held), bits)
+                    held, n = [], 0
+        if n:
+            yield spread(*merge(held), bits)
+        give_back()
+
+    salt = F.pmod(F.xxhash64("blob"), F.lit(-(-parts >> coarse) + 1))
+    return packed.repartition(parts, "r", salt).mapInArrow(run, RANGE)
 
 
 def count_keys(
@@ -69,24 +125,25 @@ def count_keys(
 ) -> DataFrame:
     """(key long, w0 long, w1 long, ...) for the keys whose sums pass least, a vectorised test.
 
-    keys_of gives uint64 keys and their weights for a batch. The signed long holds the same bits.
+    keys_of gives uint64 keys and their weights for a batch; without weights each counts one
+    and w0 is their number. The signed long holds the same bits.
     """
-    bits = range_bits(df)
-    names = [f"w{k}" for k in range(n_weights)]
+    small_batches(df.sparkSession)
+    parts, bits = df.rdd.getNumPartitions(), range_bits(df)
+    columns = max(n_weights, 1)
+    names, dtypes = [f"w{k}" for k in range(columns)], [np.uint32] * columns
 
-    def blobs(keys: np.ndarray, weights: list[np.ndarray]) -> pa.RecordBatch:
-        keys, weights = summed(keys, weights)
-        ranges = (keys >> _U(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(keys) else np.zeros(1, int)
-        out = [(int(ranges[a]), int(b - a), pack(keys[a:b], [w[a:b] for w in weights])) for a, b in zip(edges, edges[1:], strict=False)]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["r", "n", "blob"])
+    def merge(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, sums = summed(np.concatenate([k for k, _ in held]), [np.concatenate([w[i] for _, w in held]) for i in range(columns)])
+        return keys, [w.astype(np.uint32) for w in sums]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            return blobs(np.concatenate([k for k, _ in held]), [np.concatenate([w[i] for _, w in held]) for i in range(n_weights)])
+            keys, sums = merge(held) if n_weights else tallied(np.concatenate([k for k, _ in held]))
+            held.clear()
+            return spread(keys, [w.astype(np.uint32) for w in sums], first_bits(bits))
 
         for batch in batches:
             for part in keys_of(batch):
@@ -94,18 +151,23 @@ def count_keys(
                 n += len(part[0])
                 if n >= FLUSH_KEYS:
                     yield flush()
-                    held, n = [], 0
+                    n = 0
+                    give_back()
         if n:
             yield flush()
+        give_back()
 
-    def reduced(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(blob, n, n_weights) for blob, n in zip(group["blob"], group["n"], strict=True)]
-        keys, weights = summed(np.concatenate([k for k, _ in parts]), [np.concatenate([w[i] for _, w in parts]) for i in range(n_weights)])
-        keep = least(weights)
-        return pd.DataFrame({"key": keys[keep].view(np.int64)} | {c: w[keep] for c, w in zip(names, weights, strict=True)})
+    def reduced(group: pa.Table) -> pa.Table:
+        held = [unpack(blob, n, dtypes) for blob, n in zip(group["blob"].to_pylist(), group["n"].to_pylist(), strict=True)]
+        keys, sums = summed(np.concatenate([k for k, _ in held]), [np.concatenate([w[i] for _, w in held]) for i in range(columns)])
+        keep = least(sums)
+        found = pa.table([pa.array(keys[keep].view(np.int64)), *[pa.array(w[keep]) for w in sums]], ["key", *names])
+        del held, keys, sums
+        give_back()
+        return found
 
-    packed = df.mapInArrow(mapped, "r int, n long, blob binary")
-    return packed.groupBy("r").applyInPandas(reduced, ", ".join(["key long", *(f"{c} long" for c in names)]))
+    packed = cut_again(df.mapInArrow(mapped, RANGE), bits, parts, dtypes, merge)
+    return packed.groupBy("r").applyInArrow(reduced, ", ".join(["key long", *(f"{c} long" for c in names)]))
 
 
 def requests(block: int, bits: int, keys: np.ndarray, weights: list[np.ndarray]) -> pa.Table:
@@ -119,7 +181,7 @@ def requests(block: int, bits: int, keys: np.ndarray, weights: list[np.ndarray])
             "block": pa.array([block] * len(spans), pa.int64()),
             "r": pa.array([int(ranges[a]) for a, _ in spans], pa.int32()),
             "n": pa.array([b - a for a, b in spans], pa.int64()),
-            "blob": pa.array([pack(keys[a:b], [w[a:b] for w in weights]) for a, b in spans], pa.binary()),
+            "blob": pa.array([pack(keys[a:b], [w[a:b].astype(np.uint32) for w in weights]) for a, b in spans], pa.binary()),
         }
     )
 
@@ -136,7 +198,7 @@ def answer_keys(asked: DataFrame, n_weights: int, least: Callable[[list[np.ndarr
 
     def answered(group: pa.Table) -> pa.Table:
         sizes = group["n"].to_pylist()
-        parts = [unpack(blob, n, n_weights) for blob, n in zip(group["blob"].to_pylist(), sizes, strict=True)]
+        parts = [unpack(blob, n, [np.uint32] * n_weights) for blob, n in zip(group["blob"].to_pylist(), sizes, strict=True)]
         keys, weights = summed(np.concatenate([k for k, _ in parts]), [np.concatenate([w[i] for _, w in parts]) for i in range(n_weights)])
         keep = least(weights)
         found = [np.where(keep, w, 0).astype(_U) for w in weights]

@@ -13,9 +13,12 @@ What keeps groups of copies from being expanded into pairs:
 * every index entry first ties its members to one of them only, that with the fewest rare
   tokens (of copies with different changes the least changed, which most are similar to);
   after that, only members in different components still have to meet;
-* a pair meets only if the number of differing bits of two 512-bit parity sketches, a lower
-  bound of the number of differing tokens, allows the similarity.
+* a pair meets only if the number of differing bits of two parity sketches, a lower bound of
+  the number of differing tokens, allows the similarity: first of 512 bits, then, for sets
+  that these are too short for, of about a bit a token.
 No pair is dropped except by a proof that it is not similar or already in one component.
+What is left is verified on whole sets, under two independent hashes. Sets of one 64-bit
+name that differ in a second hash get names of their own.
 
 Bounds: the table of frequent tokens that is broadcast holds at most MAX_FREQUENT entries
 (the limit from which a token is frequent rises until they fit); an entry of a rare token
@@ -33,20 +36,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm import bloom
-from dqspark.llm.common import cut, stored
+from dqspark.llm.common import cut, give_back, small_batches, stored
 from dqspark.llm.components import connected
-from dqspark.llm.counting import FLUSH_KEYS, count_keys, from_planes, heaviest, planes, range_bits
+from dqspark.llm.counting import FLUSH_KEYS, RANGE, count_keys, cut_again, first_bits, heaviest, range_bits, spread, unpack
 from dqspark.llm.textbuf import Words, mix, shingle_sets, slices
 
 #: A token in at least so many documents is frequent; doubled until at most MAX_FREQUENT are.
 FREQUENT, MAX_FREQUENT = 8, 1 << 18
+#: Names of components that are broadcast at the end (of 17 bytes); more are joined by a shuffle.
+MAX_NAMED = 1 << 20
 #: Frequent tokens of a prefix for each class, about.
 CLASS_TOKENS = 4
 #: Growth of the lengths in a band; a set is indexed in its own band and looks into those below.
@@ -129,9 +132,9 @@ def _document_counts(documents: DataFrame, s: Similarity) -> DataFrame:
     def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         for _, data, offsets in slices(batch.column(0)):
             found = np.concatenate(list(shingle_sets(Words(data, offsets), s.words))) & TOP
-            yield found, [np.ones(len(found), dtype=np.uint32)]
+            yield found, []
 
-    return count_keys(documents.select("text"), keys_of, 1, lambda w: w[0] >= FREQUENT)
+    return count_keys(documents.select("text"), keys_of, 0, lambda w: w[0] >= FREQUENT)
 
 
 def frequent_tokens(documents: DataFrame, s: Similarity) -> tuple[np.ndarray, np.ndarray, int]:
@@ -140,22 +143,33 @@ def frequent_tokens(documents: DataFrame, s: Similarity) -> tuple[np.ndarray, np
     return found["key"].to_numpy(dtype=np.int64).view(_U), found["w0"].to_numpy(dtype=np.int64), limit
 
 
-#: The parity sketch of a set: bit h(token) mod 512 is set if an odd number of tokens has it.
+#: Longs of the short parity sketch of a set: bit h(token) mod 512 is set if an odd number of tokens has it.
 SKETCH = 8
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens >> _U(40)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    """The parity sketch of about a bit a token, in longs: a power of two of them, SKETCH at least."""
+    bits = min(1 << 24, max(64 * SKETCH, 1 << (len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens >> _U(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-_SET_FIELDS = [("doc_id", pa.int64()), ("n", pa.int32()), ("odd", pa.int32()), ("sid", pa.int64()), *[(f"b{k}", pa.int64()) for k in range(SKETCH)], ("rare", pa.binary()), ("pairs", pa.list_(pa.int64())), ("text_key", pa.int64())]
+_SET_FIELDS = [("doc_id", pa.int64()), ("n", pa.int32()), ("odd", pa.int32()), ("sid", pa.int64()), ("check", pa.int64()), *[(f"b{k}", pa.int64()) for k in range(SKETCH)], ("wide", pa.list_(pa.int64())), ("rare", pa.binary()), ("pairs", pa.list_(pa.int64())), ("text_key", pa.int64())]
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set; None for the empty one."""
-    folded = np.array([mix(tokens).sum(dtype=_U), np.bitwise_xor.reduce(mix(tokens + _U(7))), len(tokens)], dtype=_U)
-    return int(mix(np.array([mix(folded * np.array([1, 3, 5], dtype=_U)).sum(dtype=_U)])).view(np.int64)[0])
+def set_names(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each set, from sums and parities of its tokens' hashes, and a second hash of it; 0 for the empty one."""
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    names, checks = np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64)
+    own = np.flatnonzero(sizes)
+    if own.size:
+        flat = np.concatenate(found)
+        starts = (np.cumsum(sizes) - sizes)[own]
+        for out, salt in ((names, 7), (checks, 1009)):
+            total = np.add.reduceat(mix(flat + _U(salt - 7)), starts)
+            parity = np.bitwise_xor.reduceat(mix(flat + _U(salt)), starts)
+            out[own] = mix(mix(total) + mix(parity * _U(3)) + mix(sizes[own].astype(_U) * _U(5))).view(np.int64)
+    return names, checks
 
 
 def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -167,18 +181,23 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
         for batch in batches:
             for first, data, offsets in slices(batch.column(1)):
                 rows: list[list] = [[] for _ in range(SKETCH + 5)]
-                for tokens in shingle_sets(Words(data, offsets), s.words):
+                found = list(shingle_sets(Words(data, offsets), s.words))
+                names, checks = set_names(found)
+                flat = np.concatenate(found)
+                at = np.searchsorted(keys, flat & TOP)
+                at[at == len(keys)] = 0
+                often = keys[at] == flat & TOP if len(keys) else np.zeros(len(flat), dtype=bool)
+                counted = np.where(often, counts[at], 0) if len(keys) else np.zeros(len(flat), dtype=np.int64)
+                dealt, stop = mix(flat), 0
+                for tokens in found:
                     n = len(tokens)
                     if not n:
-                        for column, value in zip(rows, (0, 0, None, *[0] * SKETCH, b"", []), strict=True):
+                        for column, value in zip(rows, (0, 0, *[0] * SKETCH, None, b"", []), strict=True):
                             column.append(value)
                         continue
-                    at = np.searchsorted(keys, tokens & TOP)
-                    at[at == len(keys)] = 0
-                    known = keys[at] == tokens & TOP if len(keys) else np.zeros(n, dtype=bool)
-                    df = np.where(known, counts[at], 0) if len(keys) else np.zeros(n, dtype=np.int64)
-                    order = np.argsort(df, kind="stable")  # tokens are ascending: ties go by hash
-                    tokens_, known, place = tokens[order], known[order], mix(tokens[order])
+                    start, stop = stop, stop + n
+                    order = np.argsort(counted[start:stop], kind="stable")  # tokens are ascending: ties go by hash
+                    tokens_, known, place = tokens[order], often[start:stop][order], dealt[start:stop][order]
                     small = s.smallest(n)
                     rare, pairs = prefix_keys(tokens_, place, known, n - s.least(n, n), band(n), s)
                     rare, pairs, asks = [rare], [pairs], []
@@ -187,13 +206,19 @@ def _sets(documents: DataFrame, s: Similarity, keys: np.ndarray, counts: np.ndar
                     rare_all, pairs_all = np.unique(np.concatenate([a for a, _ in asks])), np.unique(np.concatenate([p for _, p in asks]))
                     mark = lambda x, own: x & (TOP ^ OWN) | np.where(np.isin(x, own), OWN, _U(0))
                     rare_all, pairs_all = mark(rare_all, rare[0]), mark(pairs_all, pairs[0])
-                    for column, value in zip(rows, (n, n - int(np.count_nonzero(known)), set_id(tokens), *sketch(tokens).tolist(), rare_all.tobytes(), pairs_all.view(np.int64)), strict=True):
+                    wide = sketch(tokens)
+                    short = np.bitwise_xor.reduce(wide.reshape(-1, SKETCH), axis=0)
+                    own = (n, n - int(np.count_nonzero(known)), *short.tolist(), wide if len(wide) > SKETCH else None, rare_all.tobytes(), pairs_all.view(np.int64))
+                    for column, value in zip(rows, own, strict=True):
                         column.append(value)
+                none = np.array([not len(t) for t in found])
+                rows[2:2] = [pa.array(x, pa.int64(), mask=none) for x in (names, checks)]
                 own = batch.slice(first, len(offsets) - 1)
-                arrays = [own.column(0), *[pa.array(c, t) for c, (_, t) in zip(rows, _SET_FIELDS[1:-1], strict=True)], own.column(2)]
+                arrays = [own.column(0), *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(rows, _SET_FIELDS[1:-1], strict=True)], own.column(2)]
                 yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in _SET_FIELDS])
+            give_back()
 
-    ddl = "doc_id long, n int, odd int, sid long, " + ", ".join(f"b{k} long" for k in range(SKETCH)) + ", rare binary, pairs array<long>, text_key long"
+    ddl = "doc_id long, n int, odd int, sid long, check long, " + ", ".join(f"b{k} long" for k in range(SKETCH)) + ", wide array<long>, rare binary, pairs array<long>, text_key long"
     return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, ddl)
 
 
@@ -202,40 +227,33 @@ def _rare_entries(sets: DataFrame) -> DataFrame:
 
     Such an entry has few sets, and most have one: they are packed like counted keys.
     """
-    bits = range_bits(sets)
+    bits, dtypes = range_bits(sets), [np.int64]
 
-    def blobs(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    def merge(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray]]:
         keys = np.concatenate([k for k, _ in held])
-        sids = np.repeat(np.array([i for _, i in held], dtype=np.int64), [len(k) for k, _ in held])
         order = np.argsort(keys)
-        keys, sids = keys[order], sids[order]
-        ranges = (keys >> _U(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]]))
-        packer = zstandard.ZstdCompressor(level=1)
-        out = [(int(ranges[a]), int(b - a), packer.compress(planes(np.diff(keys[a:b], prepend=_U(0))) + planes(sids[a:b]))) for a, b in zip(edges, edges[1:], strict=False)]
-        cols = list(zip(*out, strict=True))
-        return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["r", "n", "blob"])
+        return keys[order], [np.concatenate([x[0] for _, x in held])[order]]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             for sid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if raw:
-                    held.append((np.frombuffer(raw, dtype=_U), sid))
-                    n += len(raw) // 8
+                    own = np.frombuffer(raw, dtype=_U)
+                    held.append((own, [np.full(len(own), sid, dtype=np.int64)]))
+                    n += len(own)
                 if n >= FLUSH_KEYS:
-                    yield blobs(held)
+                    yield spread(*merge(held), first_bits(bits))
                     held, n = [], 0
+                    give_back()
         if n:
-            yield blobs(held)
-
-    def reduced(group: pd.DataFrame) -> pd.DataFrame:
-        keys, sids = [], []
-        for blob, n in zip(group["blob"], group["n"], strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=16 * n + 1)
-            keys.append(np.cumsum(from_planes(raw[: 8 * n], _U, n), dtype=_U))
-            sids.append(from_planes(raw[8 * n :], np.int64, n))
-        keys, sids = np.concatenate(keys), np.concatenate(sids)
+            yield spread(*merge(held), first_bits(bits))
+        give_back()
+
+    def reduced(group: pa.Table) -> pa.Table:
+        held = [unpack(blob, n, dtypes) for blob, n in zip(group["blob"].to_pylist(), group["n"].to_pylist(), strict=True)]
+        keys, sids = np.concatenate([k for k, _ in held]), np.concatenate([x[0] for _, x in held])
+        del held
         order = np.lexsort((keys, sids, keys & ~OWN))
         keys, sids = keys[order], sids[order]
         entry = keys & ~OWN
@@ -246,10 +264,13 @@ def _rare_entries(sets: DataFrame) -> DataFrame:
         size = np.diff(np.append(start, len(entry)))
         indexed = np.add.reduceat(own.astype(np.int64), start)
         keep = np.repeat((size > 1) & (indexed > 0), size)
-        return pd.DataFrame({"entry": entry[keep].view(np.int64), "sid": sids[keep], "own": own[keep]})
+        found = pa.table([pa.array(entry[keep].view(np.int64)), pa.array(sids[keep]), pa.array(own[keep])], ["entry", "sid", "own"])
+        del keys, sids, entry, order, last
+        give_back()
+        return found
 
-    packed = sets.where("sid is not null").select("sid", "rare").mapInArrow(mapped, "r int, n long, blob binary")
-    return packed.groupBy("r").applyInPandas(reduced, "entry long, sid long, own boolean")
+    packed = cut_again(sets.where("sid is not null").select("sid", "rare").mapInArrow(mapped, RANGE), bits, sets.rdd.getNumPartitions(), dtypes, merge)
+    return packed.groupBy("r").applyInArrow(reduced, "entry long, sid long, own boolean")
 
 
 def _pair_entries(sets: DataFrame) -> DataFrame:
@@ -261,27 +282,67 @@ def _pair_entries(sets: DataFrame) -> DataFrame:
     return rows.select((F.col("entry") + 1).alias("entry"), "sid", "own")  # never equal to one of rare tokens
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (u, v) of set names that are similar, by whole sets."""
+def _torn(sets: DataFrame) -> DataFrame | None:
+    """(sid, first): the names of two sets that differ in their second hash, and the one that keeps it; None as good as always."""
+    checks = sets.where("sid is not null").groupBy("sid").agg(F.min("check").alias("first"), F.max("check").alias("_last"))
+    torn = cut(checks.where("first != _last").select("sid", "first"))
+    return torn if torn.head(1) else None
+
+
+def _told_apart(named: DataFrame, torn: DataFrame | None) -> DataFrame:
+    """Rows with sid and check, under new names where sets of one name differ."""
+    if torn is None:
+        return named
+    own = F.when(F.col("check").isNull() | (F.col("check") == F.coalesce("first", "check")), F.col("sid")).otherwise(F.xxhash64("sid", "check"))
+    return named.join(torn, "sid", "left").withColumn("sid", own).select(*named.columns)
+
+
+def _folded(wide: Column, size: Column) -> Column:
+    """A parity sketch folded to so many longs."""
+    parts = F.sequence(F.lit(0), (F.size(wide) / size).cast("int") - 1)
+    return F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), size), lambda a, k: F.zip_with(a, F.slice(wide, k * size + 1, size), lambda x, y: x.bitwiseXOR(y)))
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+    """The pairs that their sketches of about a bit a token allow to be similar: (u, v, sizes nu and nv, further columns)."""
     pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    wides = sets.where("wide is not null").select("sid", "wide").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("wide").alias("wide"))
+    both = pairs.join(wides.select(F.col("sid").alias("u"), F.col("wide").alias("_a")), "u", "left").join(wides.select(F.col("sid").alias("v"), F.col("wide").alias("_b")), "v", "left")
+    size = F.least(F.size("_a"), F.size("_b"))
+    odd = F.aggregate(F.zip_with(_folded(F.col("_a"), size), _folded(F.col("_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    total = F.col("nu") + F.col("nv")
+    allowed = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), odd <= total - 2 * s.overlap(total)).otherwise(F.lit(True))
+    return both.where(allowed).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, torn: DataFrame | None, documents: DataFrame, s: Similarity) -> DataFrame:
+    """Those of the pairs (set names u and v, further columns) that are similar, by whole sets."""
+    pairs = cut(_sketched(pairs, sets, s))
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    texts = cut(sets.where("sid is not null").groupBy("sid").agg(F.min("text_key").alias("key")).join(nodes, "sid").select("key"))
-    n = texts.count()
-    maybe = bloom.build(texts, n, 0.01)
-    key = F.xxhash64("text")
-    # equal texts become one before anything is shuffled
-    once = documents.where(maybe.contains(key)).select("text", key.alias("key")).groupBy("key").agg(F.first("text").alias("text"))
-    wanted = once.join(texts.distinct(), "key", "left_semi").select("text")
+    texts = cut(sets.where("sid is not null").select("sid", "text_key").join(nodes, "sid", "left_semi").groupBy("sid").agg(F.min("text_key").alias("key")).select("key"))
+    wanted = bloom.only(documents.select("text", F.xxhash64("text").alias("key")), texts, "key").select("text")
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # one more copy of a set that this task has sent on tells nothing
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 found = list(shingle_sets(Words(data, offsets), s.words))
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(t) for t in found], pa.int64()), pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))], ["sid", "tokens"])
-
-    whole = cut(wanted.mapInArrow(run, "sid long, tokens array<long>"))
-    both = pairs.join(whole.select(F.col("sid").alias("u"), F.col("tokens").alias("a")), "u").join(whole.select(F.col("sid").alias("v"), F.col("tokens").alias("b")), "v")
-    return both.where(F.size(F.array_intersect("a", "b")) >= s.overlap(F.size("a") + F.size("b"))).select("u", "v")
+                names = list(zip(*(x.tolist() for x in set_names(found)), strict=True))
+                new = [k for k, x in enumerate(names) if x not in seen and not seen.add(x)]
+                again = list(shingle_sets(Words(data, offsets, seed=1), s.words))
+                for part in (new[k : k + 64] for k in range(0, len(new), 64)):
+                    lists = [pa.array([x[k].view(np.int64) for k in part], pa.list_(pa.int64())) for x in (found, again)]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k][j] for k in part], pa.int64()) for j in (0, 1)] + lists, ["sid", "check", "a", "b"])
+            give_back()
+
+    held = wanted.mapInArrow(run, "sid long, check long, a array<long>, b array<long>")
+    whole = _told_apart(held, torn).groupBy("sid").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    sides = [whole.select(F.col("sid").alias(c), F.col("a").alias(f"{c}a"), F.col("b").alias(f"{c}b")) for c in ("u", "v")]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
+    alike = lambda c: F.size(F.array_intersect(f"u{c}", f"v{c}")) >= s.overlap(F.size(f"u{c}") + F.size(f"v{c}"))
+    return both.where(alike("a") & alike("b")).select(*pairs.columns)
 
 
 def _may_link(s: Similarity, x: str, y: str) -> Column:
@@ -293,13 +354,27 @@ def _may_link(s: Similarity, x: str, y: str) -> Column:
     return sizes & (odd <= total - 2 * s.overlap(total))
 
 
+def _node(name: str, doc: str) -> Column:
+    """A set as a node of the graph of links: ordered by its least doc_id, sets without one last."""
+    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(name).alias("sid"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(sid, component) of linked sets: the component is the node of the least doc_id in it."""
+    tied = connected(links.select(_node("u", "udoc").alias("u"), _node("v", "vdoc").alias("v")))
+    return tied.select(F.col("node.sid").alias("sid"), "component")
+
+
 def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) for each row of documents."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys, counts, _ = frequent_tokens(docs, s)
     sets = stored(_sets(docs, s, keys, counts))
+    torn = _torn(sets)
+    sets = sets if torn is None else stored(_told_apart(sets, torn))
     bits = [f"b{k}" for k in range(SKETCH)]
-    nodes = sets.where("sid is not null").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "odd", *bits)])
+    nodes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "odd", *bits)])
     # the entries with more than one set
     entries = stored(_rare_entries(sets).unionAll(_pair_entries(sets)))
     shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("m"), F.bool_or("own").alias("any")).where("m > 1 and any").select("entry")
@@ -308,35 +383,41 @@ def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     hubs = members.groupBy("entry").agg(F.min(F.struct("odd", "sid")).alias("_h")).select("entry", F.col("_h.sid").alias("hub"))
     ties = members.join(hubs, "entry").where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct()
     ties = ties.join(nodes.alias("x"), F.col("x.sid") == F.col("u")).join(nodes.alias("y"), F.col("y.sid") == F.col("v")).where(_may_link(s, "x", "y"))
-    links = cut(_verified(ties.select("u", "v"), sets, docs, s))
-    found = cut(connected(links))
-    # then members in different components
-    placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    ends = [F.col(f"{side}.{c}").alias(f"{kind}{end}" if kind else f"{end}{c}") for side, end in (("x", "u"), ("y", "v")) for kind, c in (("n", "n"), ("", "doc"))]
+    links = cut(_verified(ties.select("u", "v", *ends), sets, torn, docs, s))
+    found = cut(_components(links))
+    # then members in different components; a set without links is one for itself
+    placed = members.join(found.select("sid", F.col("component.sid").alias("component")), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = stored(placed)
     sizes = placed.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("m"))
     split = sizes.groupBy("entry").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1")
-    apart = placed.join(split.select("entry", "main"), "entry").join(nodes.select("sid", *bits), "sid")
+    apart = placed.join(split.select("entry", "main"), "entry").join(nodes.select("sid", "doc", *bits), "sid")
     x, y = apart.where("component != main").alias("x"), apart.alias("y")
     different = (F.col("x.entry") == F.col("y.entry")) & (F.col("x.component") != F.col("y.component"))
     # two members outside the main component meet once; the shorter set must be indexed there
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.sid") < F.col("y.sid"))
     indexed = (F.col("x.own") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.own") & (F.col("y.n") <= F.col("x.n")))
-    late = x.join(y, different & once & indexed & _may_link(s, "x", "y")).select(F.least("x.sid", "y.sid").alias("u"), F.greatest("x.sid", "y.sid").alias("v")).distinct()
-    more = cut(_verified(late, sets, docs, s))
+    both = x.join(y, different & once & indexed & _may_link(s, "x", "y")).select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), *ends)
+    turned = both.where("u > v").select(*[F.col(a).alias(b) for a, b in (("u", "v"), ("v", "u"), ("nu", "nv"), ("nv", "nu"), ("udoc", "vdoc"), ("vdoc", "udoc"))])
+    late = both.where("u < v").unionByName(turned).distinct()
+    more = cut(_verified(late, sets, torn, docs, s))
     if more.head(1):
         # only components are left to be tied, by what the late links say of them
-        name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+        name = lambda c: found.select(F.col("sid").alias(c), F.col("component").alias(f"{c}c"))
         ties = more.join(name("u"), "u", "left").join(name("v"), "v", "left")
-        ties = ties.select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
-        joined = cut(connected(ties))
-        alone = joined.join(found, "node", "left_anti")
-        onto = joined.select(F.col("node").alias("component"), F.col("component").alias("_onto"))
-        moved = found.join(onto, "component", "left").select("node", F.coalesce("_onto", "component").alias("component"))
+        joined = cut(connected(ties.select(F.coalesce("uc", _node("u", "udoc")).alias("u"), F.coalesce("vc", _node("v", "vdoc")).alias("v"))))
+        onto = joined.select(F.col("node.sid").alias("_of"), F.col("component").alias("_onto"))
+        moved = found.join(onto, F.col("component.sid") == F.col("_of"), "left").select("sid", F.coalesce("_onto", "component").alias("component"))
+        alone = onto.select(F.col("_of").alias("sid"), F.col("_onto").alias("component")).join(found, "sid", "left_anti")
         found = cut(moved.unionAll(alone))
-    per_doc = sets.select("doc_id", "n", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    named = per_doc.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return per_doc.join(named, "component", "left").select(
+    # a set of several documents or with links is named by the least of them, one that is neither by its own
+    tied = found.select("sid", F.col("component.doc").alias("_doc"), F.lit(True).alias("_tied"))
+    named = nodes.select("sid", "doc", "copies").join(tied, "sid", "left").where("copies > 1 or _tied")
+    named = cut(named.select("sid", F.when(F.col("_tied"), F.col("_doc")).otherwise(F.col("doc")).alias("_least"), F.lit(True).alias("_named")))
+    # a table of so many rows goes to every task, so that the documents need not be dealt by their sets
+    named = F.broadcast(named) if named.count() <= MAX_NAMED else named
+    return sets.select("doc_id", "n", "sid").join(named, "sid", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("_named"), F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
