@@ -18,14 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import ascii_lower, cut
+from dqspark.llm import bloom
+from dqspark.llm.common import ascii_lower, cut, stored
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 10, 2
 #: Shingles that may stand as a set inside an expression, and item words that may be broadcast;
-#: larger benchmarks are joined by a shuffle instead.
+#: larger benchmarks are a Bloom filter, of so many bits at most, and joined by a shuffle.
 MAX_INLINE = 50_000
 MAX_BROADCAST_WORDS = 2_000_000
+MAX_BITS, RATE = 1 << 26, 0.001
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -56,9 +58,11 @@ def _prefixes(documents: DataFrame, items: DataFrame, window: int, size: int) ->
         "item_key", "item_words", "m", "need",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - size), lambda k: _shingles(F.col("item_words"), k, size))).alias("at", "shingle"),
     )
-    known = spread.select("shingle").distinct()
-    n = known.count()
-    occurring = _occurrences(documents, known, n, size, context=0).groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    known = cut(spread.select("shingle").distinct())
+    put, doubtful = _places(known, known.count(), size, context=0)
+    places = documents.select(F.inline(put)).select("shingle")
+    places = places.join(known, "shingle", "left_semi") if doubtful else places
+    occurring = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     ranked = spread.join(occurring, "shingle", "left").select("item_key", "at", "shingle", F.coalesce("df", F.lit(0)).alias("df"))
     # a window's shingles are few: each shingle goes to the windows that contain it
     offers = ranked.join(items.select("item_key", "m", "need"), "item_key").select(
@@ -70,54 +74,51 @@ def _prefixes(documents: DataFrame, items: DataFrame, window: int, size: int) ->
     return chosen.distinct().join(items, "item_key")
 
 
-def _occurrences(documents: DataFrame, shingles: DataFrame, n: int, size: int, context: int) -> DataFrame:
-    """Places in the documents where one of the shingles stands: (_doc, at, shingle, left, right).
+def _places(shingles: DataFrame, n: int, size: int, context: int) -> tuple[Column, bool]:
+    """An array of the places in _words where one of the n shingles stands: (at, shingle, left, right); and whether others may be among them.
 
-    left: up to context words before it, nearest first; right: as many from its end on.
+    left: up to context words before it, nearest first; right: as many from its end on. Few
+    shingles are a set inside the expression, many a Bloom filter, whose few errors a join must take out.
     """
     w = F.col("_words")
-    places = F.sequence(F.lit(0), F.size(w) - size)
     if n <= MAX_INLINE:
         inline = [r["shingle"] for r in shingles.collect()]
-        if not inline:
-            places = F.array().cast("array<int>")
-        else:
-            places = F.filter(places, lambda k: _shingles(w, k, size).isin(*inline))
-    put = F.transform(
-        places,
-        lambda k: F.struct(
-            k.alias("at"),
-            _shingles(w, k, size).alias("shingle"),
-            F.reverse(F.slice(w, F.greatest(k - context, F.lit(0)) + 1, F.least(k, F.lit(context)))).alias("left"),
-            F.slice(w, k + size + 1, F.lit(context)).alias("right"),
-        )
-        if context
-        else F.struct(k.alias("at"), _shingles(w, k, size).alias("shingle")),
-    )
-    columns = ["_doc"] if "_doc" in documents.columns else []
-    found = documents.where(F.size(w) >= size).select(*columns, F.inline(put))
-    return found if n <= MAX_INLINE else found.join(shingles, "shingle", "left_semi")
-
-
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """(_doc, item_id, start, end): runs of document words equal to windows of an item.
-
-    documents: with _doc, any value that names a row; benchmark: item_id and text.
+        known = lambda s: s.isin(*inline)
+    else:
+        known = bloom.build(shingles.select(F.col("shingle").alias("key")), n, RATE, most=MAX_BITS).contains
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - size), lambda k: known(_shingles(w, k, size))) if n else F.array().cast("array<int>")
+    around = lambda k: [
+        F.reverse(F.slice(w, F.greatest(k - context, F.lit(0)) + 1, F.least(k, F.lit(context)))).alias("left"),
+        F.slice(w, k + size + 1, F.lit(context)).alias("right"),
+    ]
+    put = F.transform(places, lambda k: F.struct(k.alias("at"), _shingles(w, k, size).alias("shingle"), *(around(k) if context else [])))
+    return F.when(F.size(w) >= size, put), n > MAX_INLINE
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents with n_words instead of their text, and (_doc, item_id, start, end): runs of document words equal to windows of an item.
+
+    documents: with _doc, any value that names a row; benchmark: item_id and text. After the
+    shingles are counted, one more pass over the texts gives both.
     """
-    w = words(F.col(text))
     items = benchmark.select("item_id", F.monotonically_increasing_id().alias("item_key"), words(F.col("text")).alias("item_words"))
     items = items.withColumn("m", F.size("item_words")).where("m > 0").withColumn("need", F.least("m", F.lit(window)))
     items = cut(items)
-    docs = documents.select("_doc", w.alias("_words"))
+    kept = [c for c in documents.columns if c != text]
+    docs = documents.select(*kept, words(F.col(text)).alias("_words"))
     total = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    out = None
+    passes = []
     for size in (SHINGLE, 1):
         own = items.where(F.col("need") >= SHINGLE) if size == SHINGLE else items.where(F.col("need") < SHINGLE)
-        if not own.head(1):
-            continue
-        prefixes = cut(_prefixes(docs.select("_words"), own, window, size))
-        shingles = prefixes.select("shingle").distinct()
-        places = _occurrences(docs, shingles, shingles.count(), size, window - size)
+        if own.head(1):
+            prefixes = cut(_prefixes(docs.select("_words"), own, window, size))
+            shingles = cut(prefixes.select("shingle").distinct())
+            passes.append((size, prefixes, shingles, *_places(shingles, shingles.count(), size, window - size)))
+    read = stored(docs.select(*kept, F.size("_words").cast("long").alias("n_words"), *[put.alias(f"_places{size}") for size, *_, put, _ in passes]))
+    out = None
+    for size, prefixes, shingles, _, doubtful in passes:
+        places = read.select("_doc", F.inline(f"_places{size}"))
+        places = places.join(shingles, "shingle", "left_semi") if doubtful else places
         sides = prefixes.select(
             F.col("shingle"), "item_id", "need",
             F.reverse(F.slice("item_words", F.greatest(F.col("at") - (window - size), F.lit(0)) + 1, F.least(F.col("at"), F.lit(window - size)))).alias("item_left"),
@@ -131,8 +132,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text:
         out = found if out is None else out.unionAll(found)
     if out is None:
         nothing = [F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("end")]
-        out = docs.where(F.lit(False)).select("_doc", *nothing)
-    return out
+        out = read.where(F.lit(False)).select("_doc", *nothing)
+    return read.select(*kept, "n_words"), out
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,7 +145,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     # rows of one id and one text share their hits, whatever order they are read in
     marked = documents.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("_doc"))
-    found = hits(marked, benchmark, window)
+    base, found = hits(marked, benchmark, window)
     runs = found.groupBy("_doc", "start").agg(F.max("end").alias("end"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     spans = runs.groupBy("_doc").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
@@ -160,7 +161,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         lambda a: a["n"],
     )
     per_doc = spans.select("_doc", covered.alias("n_hit"), "items")
-    base = marked.select("doc_id", "_doc", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return base.join(per_doc, "_doc", "left").select(
         "doc_id",
