@@ -12,10 +12,17 @@ left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dqspark.llm.common import cut
+from dqspark.llm.common import cut, small_batches
+
+#: Rows of a range, about, beyond which there are more ranges than shuffle partitions.
+RANGE_ROWS = 4_000_000
 
 
 def shard_by_bytes(documents: DataFrame, shards: int, text: str = "text") -> DataFrame:
@@ -28,28 +35,35 @@ def shard_by_bytes(documents: DataFrame, shards: int, text: str = "text") -> Dat
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sized.count()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
     order = ["doc_id", "text_crc32", "_row"]
-    # the ranges are kept, so that totals and rows speak of the same ones
-    ranged = cut(sized.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    # the ranges are kept, in order, so that totals and rows speak of the same ones
+    ranged = cut(sized.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", F.spark_partition_id().alias("_range")))
     totals = ranged.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(  # a row for each range, as many as the session has shuffle partitions
+    bases = totals.select(  # a row for each range
         "_range",
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("_bytes"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_rows"),
         F.sum("bytes").over(Window.partitionBy(F.lit(0))).alias("_total"),
     )
-    inside = Window.partitionBy("_range").orderBy(*order)
-    placed = ranged.join(F.broadcast(bases), "_range").select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        (F.col("_bytes") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("_start"),
-        (F.col("_rows") + F.row_number().over(inside) - 1).alias("_index"),
-        "_total",
-    )
+    small_batches(spark)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    placed = ranged.mapInArrow(_running, f"doc_id {kind}, size long, text_crc32 long, _range int, _before long, _place long").join(F.broadcast(bases), "_range").select(
+        "doc_id", "size", "text_crc32", (F.col("_bytes") + F.col("_before")).alias("_start"), (F.col("_rows") + F.col("_place")).alias("_index"), "_total",
+    )
     # by the middle of a row: no shard is off its target by more than half a row at either end
     cutted = cut(placed.withColumn("shard", F.expr("cast(least((_start * 2 + size) * cast(%d as decimal(20,0)) div (2 * _total), %d) as int)" % (shards, shards - 1))))
     firsts = cutted.groupBy("shard").agg(F.min("_index").alias("_first"))
     return cutted.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_index") - F.col("_first")).alias("slot"))
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to the rows of one range, in their order, the bytes and the rows before each."""
+    size = rows = 0
+    for batch in batches:
+        own = np.asarray(batch.column(1))
+        upto = size + np.cumsum(own)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - own), pa.array(rows + np.arange(len(own)))], [*batch.schema.names, "_before", "_place"])
+        size, rows = int(upto[-1]) if len(own) else size, rows + len(own)

@@ -5,6 +5,9 @@ place of a document's ids in its range) and ranges/ (the number of ids before ea
 Readers take stripes in parallel, and a search for doc_ids reads only the stripes and row
 groups whose statistics and Bloom filters admit them.
 
+Texts are encoded as the tokenizers library does without add_special_tokens: nothing is
+added, but a special token that stands in a text gets its own id.
+
 A null text has only the end id; equal doc_ids stand side by side; a null doc_id comes
 first. Further columns are left out; an empty table gives empty files.
 """
@@ -21,6 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dqspark.llm import bpe
+from dqspark.llm.common import give_back, small_batches
+
+#: Bytes of text of a range, which is a file, about.
+RANGE_BYTES = 256 << 20
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -36,14 +43,16 @@ ORC_OPTIONS = {
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, text: str = "text") -> None:
     """Encodes every text, with end_id after it, and writes the file set at path in ascending doc_id order."""
     spark = documents.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
+    total = documents.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     own = documents.select(F.col("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
     ranged = own.repartitionByRange(n, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, ids, bounds in bpe.encoder(tokenizer).encode(batch.column(1)):
+            for first, ids, bounds in bpe.encoder(tokenizer, special=True).encode(batch.column(1)):
                 rows = len(bounds) - 1
                 after = bounds + np.arange(rows + 1)
                 flat = np.full(after[-1], end_id, dtype=np.int32)
@@ -55,6 +64,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
                     ["doc_id", "range", "place", "n_tokens", "ids"],
                 )
                 done += int(after[-1])
+            give_back()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = ranged.mapInArrow(run, f"doc_id {kind}, range int, place long, n_tokens long, ids array<int>")
@@ -72,9 +82,15 @@ def read_tokens(spark: SparkSession, path: str, kind: str = "bigint") -> DataFra
     return rows.join(F.broadcast(ranges), "range").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
+def find_tokens(spark: SparkSession, path: str, doc_ids: list, kind: str = "bigint") -> DataFrame:
+    """The same for a few documents: only stripes and row groups that may hold their ids are read."""
+    return read_tokens(spark, path, kind).where(F.col("doc_id").isin(*doc_ids))
+
+
 def with_checksum(rows: DataFrame) -> DataFrame:
     """Instead of ids, ids_crc32: the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     kept = [c for c in rows.columns if c != "ids"]
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

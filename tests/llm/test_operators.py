@@ -1,7 +1,6 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import base64
-import hashlib
 import random
 
 import numpy as np
@@ -9,9 +8,10 @@ import pyarrow as pa
 import pytest
 from brute import base_rules, contamination, crc32, judge_url, near_duplicates, turns_digest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import public_tokenizers
-from dqspark.llm import bloom, bpe, chat, decontam, jaccard, knn, lm, queries, rules, shard, textbuf, tokenfile, tokens, urlfilter
+from dqspark.llm import bloom, bpe, chat, counting, decontam, jaccard, knn, lm, queries, rules, shard, textbuf, tokenfile, tokens, urlfilter
 from dqspark.llm.components import connected
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,24 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.where(found.contains(F.col("key")) != (F.col("key") % 7 == 0)).count() == 0
 
 
+def test_long_lists_are_judged_in_parts(spark, monkeypatch):
+    # filters of 2000 bits take some 200 keys: the list of 600 needs several passes
+    monkeypatch.setattr(urlfilter, "LITERAL_BITS", 2000)
+    rules = [("block" if k % 3 else "allow", f"h{k}.example.{'net' if k % 2 else 'org'}/{'x/' * (k % 3)}") for k in range(600)]
+    urls = [f"http://{'a.' * (k % 2)}H{k}.example.net/x/x/y?q" for k in range(0, 900, 7)] + [f"ftp://h{k}.example.org/x" for k in range(0, 900, 11)] + [None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules, (None, "x/"), ("block", None)], "verdict string, rule string")
+    out = urlfilter.judge_urls(pages, table).collect()
+    expected = [(k, *judge_url(u, rules)) for k, u in enumerate(urls)]
+    assert sorted_rows((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in out) == sorted_rows(expected)
+
+
+def test_a_host_of_very_many_labels(spark):
+    pages = spark.createDataFrame([(0, "http://" + "a." * 100_000 + "net/x"), (1, "http://" + "." * 100_000 + "/")], "page_id long, url string")
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, queries.URL_RULES).collect()}
+    assert out == {0: ("net/", "block"), 1: (None, "allow")}
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(5000).select(F.col("id").cast("string").alias("key"))
     own = bloom.build(keys, 5000, 0.01)
@@ -366,14 +384,15 @@ def test_lm_keeps_all_words_and_pairs(spark, monkeypatch):
 # 8
 
 
-def test_token_file(spark, tmp_path):
+def test_token_file(spark, tmp_path, monkeypatch):
     texts = random_texts(60)
     rows = [*enumerate(texts), (5, "again"), (5, "again"), (None, "none")]
     docs = frame(spark, rows).withColumn("ids", F.lit("clash"))
     tokenfile.write_tokens(docs, f"{tmp_path}/t", JSON)
     back = tokenfile.read_tokens(spark, f"{tmp_path}/t").collect()
-    library = tiktoken_encoding()
-    assert sorted_rows((r["doc_id"], r["ids"]) for r in back) == sorted_rows((i, [*library.encode_ordinary(t or ""), 0]) for i, t in rows)
+    library = Tokenizer.from_file(JSON)  # as it is: a special token that stands in a text has its own id
+    assert any("<|endoftext|>" in (t or "") for t in texts)
+    assert sorted_rows((r["doc_id"], r["ids"]) for r in back) == sorted_rows((i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows)
     at = 0
     for r in sorted(back, key=lambda r: r["start"]):
         assert r["start"] == at and r["n_tokens"] == len(r["ids"])
@@ -383,6 +402,12 @@ def test_token_file(spark, tmp_path):
     for r in tokenfile.with_checksum(tokenfile.read_tokens(spark, f"{tmp_path}/t")).where("doc_id < 9").collect():
         own = next(b for b in back if b["start"] == r["start"])
         assert r["ids_crc32"] == crc32(np.array(own["ids"], dtype="<u4").tobytes())
+    few = tokenfile.find_tokens(spark, f"{tmp_path}/t", [3, 5])
+    assert sorted_rows((r["doc_id"], r["ids"]) for r in few.collect()) == sorted_rows((r["doc_id"], r["ids"]) for r in back if r["doc_id"] in (3, 5))
+    assert "PushedFilters: [In(doc_id, [3,5])" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tokenfile, "RANGE_BYTES", 1 << 12)  # more ranges than there are rows in some
+    tokenfile.write_tokens(docs, f"{tmp_path}/m", JSON)
+    assert sorted_rows(tuple(r)[:4] for r in tokenfile.read_tokens(spark, f"{tmp_path}/m").collect()) == sorted_rows(tuple(r)[:4] for r in back)
     tokenfile.write_tokens(docs.where("false"), f"{tmp_path}/e", JSON)
     assert tokenfile.read_tokens(spark, f"{tmp_path}/e").collect() == []
 
@@ -390,8 +415,9 @@ def test_token_file(spark, tmp_path):
 # 9
 
 
-@pytest.mark.parametrize("n", [1, 7, 8])
-def test_shards(spark, n):
+@pytest.mark.parametrize(("n", "most"), [(1, 4_000_000), (7, 20), (8, 4_000_000)])
+def test_shards(spark, monkeypatch, n, most):
+    monkeypatch.setattr(shard, "RANGE_ROWS", most)
     rng = random.Random(n)
     rows = [(k, words(rng, rng.choice([0, 1, 30]))) for k in range(300)] + [(300, None), (301, ""), (5, "again"), (5, "again"), (None, "x"), (302, words(rng, 3000))]
     out = shard.shard_by_bytes(frame(spark, rows).withColumn("size", F.lit("clash")), n).collect()
@@ -433,5 +459,63 @@ def test_prefix_targets(spark):
     assert chat.examples(rows.where("false")).collect() == []
 
 
-def test_digest_is_of_bytes():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+# hashes are never taken for texts
+
+
+def thue_morse(n):
+    """A string of a and b on which polynomials modulo 2**64 collide with its complement, and that."""
+    found = "a"
+    while len(found) < n:
+        found += found.translate(str.maketrans("ab", "ba"))
+    return found, found.translate(str.maketrans("ab", "ba"))
+
+
+def test_alike_texts_are_told_apart(spark):
+    (a, b), (c, d) = thue_morse(1024), thue_morse(4096)
+    for x, y in ((a, b), (c, d)):
+        rows = [(1, f"x y {x}"), (2, f"x y {y}"), (3, f"x y {x}")]
+        assert sorted_rows(jaccard.near_duplicates(frame(spark, rows), jaccard.Similarity(3, 90, 100)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+        _, data, offsets = next(textbuf.slices(pa.array([f"{x}\n{y}\n{x}", f"p q {x} p q {y}"])))
+        counts = rules.base_counts(data, offsets)
+        assert counts["n_dup_lines"].tolist() == [1, 0] and counts["n_repeat_words"].tolist() == [0, 0]
+        texts, library = [x, y, f"{x} {y}", x], tiktoken_encoding()
+        got = [ids[p:q].tolist() for _, ids, bounds in bpe.Encoder(JSON).encode(pa.array(texts)) for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [library.encode_ordinary(t) for t in texts]
+
+
+def test_shared_hashes_do_no_harm(spark, monkeypatch):
+    plain = textbuf.Spans.hash
+    monkeypatch.setattr(textbuf.Spans, "hash", lambda self, a, b, seed=0: plain(self, a, b, seed) & np.uint64(7))
+    rng, library = random.Random(12), tiktoken_encoding()
+    texts = [" ".join("w" * rng.randrange(1, 14) + str(rng.randrange(9)) for _ in range(rng.randrange(40))) + "abc abc\nabc abc\n def " * rng.randrange(3) for _ in range(150)] + [None, ""]
+    got = [ids[p:q].tolist() for _, ids, bounds in bpe.Encoder(JSON).encode(pa.array(texts)) for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [library.encode_ordinary(t or "") for t in texts]
+    for _, data, offsets in textbuf.slices(pa.array(texts)):
+        counts = rules.base_counts(data, offsets)
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+        assert [tuple(int(counts[n][r]) for n in names) for r in range(len(texts))] == [base_rules(t) for t in texts]
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    rows = [(1, 5, 10), (2, 5, 11), (3, 5, 10), (4, 6, 12), (None, None, None)]
+    sets = spark.createDataFrame(rows, "doc_id long, sid long, check long")
+    torn = jaccard._torn(sets)
+    names = {r["doc_id"]: r["sid"] for r in jaccard._told_apart(sets, torn).collect()}
+    assert names[1] == names[3] == 5 and names[4] == 6 and names[None] is None and names[2] not in (5, 6)
+    assert jaccard._torn(sets.where("doc_id <> 2")) is None
+
+
+def test_counts_of_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(counting, "COARSE_BITS", 2)
+    monkeypatch.setattr(counting, "FLUSH_KEYS", 100)
+    rng = random.Random(13)
+    values = [rng.randrange(2**63) for _ in range(300)]
+    rows = [(rng.choice(values),) for _ in range(3000)]
+
+    def keys_of(batch):
+        yield np.asarray(batch.column(0)).view(np.uint64).copy(), []
+
+    out = counting.count_keys(spark.createDataFrame(rows, "key long").repartition(5), keys_of, 0, lambda w: w[0] >= 2).collect()
+    expected = {v: sum(r[0] == v for r in rows) for v in values}
+    assert {r["key"]: r["w0"] for r in out} == {v: n for v, n in expected.items() if n >= 2}
+    assert counting.count_keys(spark.createDataFrame(rows, "key long").where("false"), keys_of, 0, lambda w: w[0] >= 2).collect() == []
