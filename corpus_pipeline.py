@@ -10,7 +10,6 @@ empty table passes through all stages.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,23 +17,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.llm import bloom, decontam, jaccard, knn, rules, tokens
-from dqspark.llm.common import shared_dir, table
-from dqspark.session import share_package
+from dqspark.llm.common import table
+from dqspark.session import scratch, share_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and whose compression ratios lie in their bands."""
-    held = docs.select(F.struct("*").alias("_own"), F.col("text").alias("text"))
-    return rules.judge(held).where("kept").select("_own.*")
+    held = docs.select(F.struct("*").alias("_own"))
+    return rules.judge(held, within="_own").where("kept").select("_own.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the nearest labelled ones call good; learns from the labels not held out."""
     model = knn.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    held = docs.select(F.struct("*").alias("_own"), "text")
-    return knn.score(held, model, ["_own"]).where("predicted = 1").select("_own.*")
+    held = docs.select(F.struct("*").alias("_own"))
+    return knn.score(held, model, within="_own").where("predicted = 1").select("_own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +51,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding them gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = tokens.encode(docs.select("doc_id", "text"), path, decoded=True)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    encoded = tokens.encode(docs, path, round_trip=True, keep=["doc_id"])
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -73,7 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps lies as Parquet in the shared folder."""
     share_package(spark)
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    base = scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
