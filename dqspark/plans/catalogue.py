@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark.functions import captions, html, scan, text
 from dqspark.functions import values as V
 from dqspark.operators import evalstats, findings, folds, graph, merge, tables
+from dqspark.plans.registry import ORACLES, QUERIES, query, read
 from dqspark.plans.rules import Rule, run_rules
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from dqspark.session import shared_dir
 
 # --- J, E18: content scanning ----------------------------------------------------------------
 
@@ -90,17 +71,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", "line", F.round(scan.entropy(F.col("content")), 6).alias("bits"))
 
 
-@query("j06_j07_payload_rescan")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return scan.rescan(read(spark, d, "documents"), "doc_id", "text")
-
-
 _ANY = {s: " OR ".join(f"regexp_matches(text, '{p.regex}')" for p in scan.ALL if p.severity == s) for s in ("critical", "error")}
 
 
 @query("e18_risk_level", f"SELECT source, CASE WHEN {_ANY['critical']} THEN 'DANGER' WHEN {_ANY['error']} THEN 'CAUTION' ELSE 'SAFE' END AS risk, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("source", scan.risk_level(F.col("text")).alias("risk")).groupBy("source", "risk").agg(F.count(F.lit(1)).alias("n"))
+    own = read(spark, d, "documents").select("source", "text", F.lower("text").alias("lower"))
+    return own.select("source", scan.risk_level(F.col("text"), lower=F.col("lower")).alias("risk")).groupBy("source", "risk").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- H02, I: search and text -----------------------------------------------------------------
@@ -148,12 +125,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return marked.select("page_id", html.tidy_markdown(F.col("md")).alias("markdown"))
 
 
-@query("b15_html_tables")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    grids = read(spark, d, "pages").select("page_id", F.posexplode(html.html_tables("html")).alias("table", "grid"))
-    return grids.select("page_id", "table", F.size("grid").alias("rows"), F.size(F.get("grid", F.lit(0))).alias("columns"))
-
-
 @query("i17_i18_hosts", r"""SELECT host, count(*) AS n FROM (
   SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h,
          regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS host FROM pages) GROUP BY host""")
@@ -161,11 +132,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(text.registrable(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c15_c16_slug_id", r"""SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+@query("c15_c16_slug_id", r"""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
   left(sha1(text), 12) AS id, sha256(text) AS content_hash FROM documents""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", V.slug(F.substring(t, 1, 60)).alias("slug"), V.stable_id(t).alias("id"), V.content_hash(t).alias("content_hash"))
+    return read(spark, d, "documents").select("doc_id", V.slug(t).alias("slug"), V.stable_id(t).alias("id"), V.content_hash(t).alias("content_hash"))
 
 
 # --- F: link graph of the pages --------------------------------------------------------------
@@ -202,10 +173,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lost.select("target", "n_referrers", F.array_join("referrers", ",").alias("referrers"))
 
 
-@query("f02_orphans", f"""WITH {_EDGES_SQL}
-SELECT name FROM names WHERE kind <> 'source' AND name NOT IN (SELECT target FROM edges WHERE src <> target AND length(src) < 6)""")
+@query("f02_orphans", rf"""WITH {_EDGES_SQL}, listed AS (
+  SELECT DISTINCT regexp_extract(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS name FROM pages)
+SELECT name FROM listed WHERE name <> '' AND name NOT IN (SELECT target FROM edges WHERE src <> target)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.orphans(_edges(spark, d).where(F.length("src") < 6), _names(spark, d))
+    return graph.orphans(_edges(spark, d), _listed(spark, d))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages for the orphan test, linked or not: the last path segment of each page's own url."""
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    own = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)
+    return read(spark, d, "pages").select(own.alias("name")).where("name != ''").distinct().withColumn("kind", F.lit("concept"))
 
 
 @query("f03_missing", f"""WITH {_EDGES_SQL}, m AS (
@@ -244,33 +223,10 @@ SELECT name FROM r""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d).select("src", "target")
     back = edges.where(F.length("target") % 3 == 0).select(F.col("target").alias("src"), F.col("src").alias("target"))
-    _checkpoints(spark)
+    shared_dir(spark)
     return graph.reachable(edges.unionAll(back), spark.range(1).select(F.lit("page0").alias("name")))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Takes the folder that spark.checkpoint.dir names; only local sessions get one of their own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="dqspark-")
-    sc.setCheckpointDir(found)
-
-
-@query("h10_contradiction_pairs", r"""WITH w AS (
-  SELECT item_id AS k, text AS t, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws FROM benchmark
-), f AS (SELECT k, t, ws[1] || ' ' || ws[2] AS head FROM w WHERE len(ws) >= 3)
-SELECT a.k AS left_id, b.k AS right_id, a.head FROM f a JOIN f b ON a.head = b.head AND a.k < b.k AND lower(a.t) <> lower(b.t)""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return merge.contradictions(read(spark, d, "benchmark"), "item_id", "text")
-
-
 # --- E11 to E21, G11: evaluation statistics --------------------------------------------------
 
 
@@ -372,11 +328,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("conv_id", F.size("cues").alias("n_cues"), F.size(merged).alias("n_merged"), captions.paragraphs(merged).alias("text"))
 
 
-@query("g03_turn_counts", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS assistant_turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"), F.sum(F.length("text")).cast("long").alias("chars"))
-
-
 @query("g04_ladder", """SELECT source, lang, doc_id FROM (
   SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 WHEN 'en' THEN 2 END, doc_id) AS k
   FROM documents WHERE lang IN ('fr', 'de', 'en')) WHERE k = 1""")
@@ -423,7 +374,6 @@ _row_query("d02_between", "orders", "o_orderkey", "o_totalprice", "between:1000,
 _row_query("d03_in", "orders", "o_orderkey", "o_orderpriority", "in ['1-URGENT', '2-HIGH', '3-MEDIUM']", "o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
 _row_query("d03_not_in", "customer", "c_custkey", "c_mktsegment", "not in [BUILDING, 'MACHINERY']", "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
 _row_query("d04_is_number", "customer", "c_custkey", "c_name", "is_number", "false")
-_row_query("d04_required", "orders", "o_orderkey", "o_orderstatus", "required", "trim(o_orderstatus) <> ''", empty=True)
 _row_query("d05_regex", "customer", "c_custkey", "c_name", "regex:.*[0-4]", "regexp_full_match(c_name, '.*[0-4]')")
 _row_query("d07_len", "part", "p_partkey", "p_name", "len <= 10", "length(trim(p_name)) <= 10")
 _row_query("d08_starts_with", "part", "p_partkey", "p_type", "starts_with:S", "starts_with(p_type, 'S')")
@@ -527,12 +477,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- B, C: islands and inference -------------------------------------------------------------
 
 
-@query("b02_islands", """WITH d AS (SELECT DISTINCT l_suppkey, (l_shipdate::DATE - DATE '1970-01-01') AS day FROM lineitem WHERE l_suppkey <= 50),
+@query("b02_islands", """WITH d AS (SELECT DISTINCT l_suppkey, (l_shipdate::DATE - DATE '1970-01-01') AS day FROM lineitem),
 n AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY l_suppkey ORDER BY day) > 3 THEN 1 ELSE 0 END AS b FROM d),
 i AS (SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY day) AS island FROM n)
 SELECT l_suppkey, CAST(island AS INT) AS island, CAST(min(day) AS INT) AS first_day, CAST(max(day) AS INT) AS last_day, count(*) AS days FROM i GROUP BY l_suppkey, island""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    days = read(spark, d, "lineitem").where("l_suppkey <= 50").select("l_suppkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"))
+    days = read(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"))
     runs = tables.islands(days, ["l_suppkey"], "day", 2)
     return runs.groupBy("l_suppkey", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
 
@@ -596,35 +546,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tables.key_order(read(spark, d, "events").select("event_id", F.array("event_type").alias("keys")), "event_id", "keys")
 
 
-@query("j09_missing_references")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "pages").select("page_id", html.page_markdown("html").alias("md"))
-    files = read(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"))
-    return scan.missing_references(docs, "page_id", "md", files)
-
-
-@query("k11_counts_by_kind", "SELECT lang AS kind, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY lang")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-
-
 # --- further operators by their ids ----------------------------------------------------------
 
 
-@query("f08_shared_referenced", f"""WITH {_LAYERS_SQL}
-SELECT DISTINCT layer FROM layers WHERE layer <> 'net' AND name IN (SELECT name FROM layers WHERE layer = 'net')""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    layers = _layers(spark, d)
-    root = layers.where("layer = 'net'").select("name").distinct()
-    return layers.where("layer != 'net'").join(root, "name", "left_semi").select("layer").distinct()
-
-
-@query("f10_time_fallback", """SELECT doc_id, coalesce(quality, 1) AS quality FROM documents LEFT JOIN labels USING (doc_id)""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id")
-    return docs.join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"))
-
-
 @query("f12_k07_findings_per_row", """SELECT o_orderkey AS row, count(*) AS n FROM (
   SELECT o_orderkey FROM orders WHERE NOT o_totalprice <= 300000 UNION ALL SELECT o_orderkey FROM orders WHERE NOT o_orderpriority IN ('1-URGENT', '2-HIGH')) GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -632,11 +556,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return run_rules(read(spark, d, "orders"), own, "orders", F.col("o_orderkey")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h06_primary_file", """SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return merge.best(read(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], F.col("n_chars"), ["doc_id"]).select("source", "doc_id")
-
-
 @query("h09_union_metadata", """SELECT lang, min(day) AS created, arg_max(source, {'n': length(source), 's': source}) AS description FROM (
   SELECT lang, source, DATE '2024-01-01' + CAST(doc_id % 100 AS INT) AS day FROM documents) GROUP BY lang""")
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -684,26 +603,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", V.escape_formula(t).alias("cell"))
 
 
-@query("b04_overlaps", """WITH s AS (SELECT p_partkey AS id, p_size AS top, p_size + 3 AS bottom, p_partkey % 40 AS l FROM part WHERE p_partkey <= 400)
+@query("b04_overlaps", """WITH s AS (SELECT p_partkey AS id, p_size AS top, p_size + 3 AS bottom, p_partkey % 40 AS l FROM part)
 SELECT a.id AS left_id, b.id AS right_id FROM s a JOIN s b ON a.id < b.id AND a.top <= b.bottom AND b.top <= a.bottom AND a.l <= b.l + 1 AND b.l <= a.l + 1""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "part").where("p_partkey <= 400").select(
-        F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
-    )
-    return tables.overlapping(s).select("left_id", "right_id")
-
-
-# --- whole tables: the queries of the same names without _all read a part, as their SQL does -------
-
-
-@query("b02_islands_all")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    days = read(spark, d, "lineitem").select("l_suppkey", F.unix_date(F.col("l_shipdate").cast("date")).alias("day"))
-    runs = tables.islands(days, ["l_suppkey"], "day", 2)
-    return runs.groupBy("l_suppkey", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
-
-
-@query("b04_overlaps_all")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "part").select(
         F.lit("s").alias("sheet"), F.col("p_partkey").alias("id"), F.col("p_size").alias("top"), (F.col("p_size") + 3).alias("bottom"), (F.col("p_partkey") % 40).alias("left"), (F.col("p_partkey") % 40 + 1).alias("right")
@@ -711,19 +612,5 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tables.overlapping(s, cell=8).select("left_id", "right_id")
 
 
-@query("f02_orphans_all")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return graph.orphans(_edges(spark, d), _listed(spark, d))
-
-
-def _listed(spark: SparkSession, d: str) -> DataFrame:
-    """Pages for the orphan test, linked or not: the last path segment of each page's own url."""
-    path = F.regexp_extract("url", r"^([^?#]*)", 1)
-    own = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)
-    return read(spark, d, "pages").select(own.alias("name")).where("name != ''").distinct().withColumn("kind", F.lit("concept"))
-
-
-@query("c15_c16_slug_id_all")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", V.slug(t).alias("slug"), V.stable_id(t).alias("id"), V.content_hash(t).alias("content_hash"))
+# the other queries register themselves
+from dqspark.plans import catalogue_pages, catalogue_tables, catalogue_text, catalogue_values  # noqa: E402, F401

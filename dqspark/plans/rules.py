@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.functions import values as V
+from dqspark.plans.yaml_text import parse_yaml
 
 MAX_DEPTH, MAX_PATTERN = 16, 1000
 AGGREGATES = ("sum", "avg", "mean", "min", "max", "median", "stdev", "count", "count_nonempty", "count_distinct", "count_errors")
@@ -44,14 +45,18 @@ class RuleError(ValueError):
 @dataclass(frozen=True)
 class Rule:
     id: str
-    column: str
-    check: Any
+    column: str = ""
+    check: Any = None
     severity: str = "error"
     when: Any = None
     message: str = ""
     tolerance: float = 1e-9
     #: Serial numbers and ISO-looking text in the column count as dates.
     dates: bool = False
+    #: First and last row that the rule is about (by the row that names rows), all without.
+    rows: tuple[int, int] | None = None
+    #: Instead of a column: the cells of a workbook's sheets that the rule is about (see scopes.py).
+    scope: str = ""
 
 
 @dataclass(frozen=True)
@@ -200,7 +205,7 @@ def parse_check(check: Any, depth: int = 0) -> Node:
 
 
 def rules_from(source: str | list[dict]) -> list[Rule]:
-    """From JSON text {"version": 1, "defaults": {...}, "rules": [...]} or a list of rules; ids are unique, unknown keys (such as a scope) are refused."""
+    """From JSON or YAML text {"version": 1, "defaults": {...}, "rules": [...]} or a list of rules; ids are unique, unknown keys are refused."""
     if isinstance(source, str):
         if len(source) > 1 << 20:
             raise RuleError("the rules file is too large")
@@ -210,8 +215,11 @@ def rules_from(source: str | list[dict]) -> list[Rule]:
                 raise RuleError("a key is given twice")
             return dict(pairs)
 
-        doc = json.loads(source, object_pairs_hook=unique)
-        if doc.get("version") != 1:
+        try:
+            doc = json.loads(source, object_pairs_hook=unique) if source.lstrip().startswith("{") else parse_yaml(source)
+        except ValueError as e:
+            raise e if isinstance(e, RuleError) else RuleError(str(e)) from e
+        if not isinstance(doc, dict) or doc.get("version") != 1:
             raise RuleError("the version must be 1")
         defaults, items = doc.get("defaults", {}), doc["rules"]
     else:
@@ -220,6 +228,8 @@ def rules_from(source: str | list[dict]) -> list[Rule]:
     if odd := sorted({k for item in [defaults, *items] for k in item} - known):
         raise RuleError(f"unknown keys: {odd}")
     out = [Rule(**(defaults | item)) for item in items]
+    if bad := [r.id for r in out if bool(r.column) == bool(r.scope) or r.check is None]:
+        raise RuleError(f"a check and either a column or a scope are needed: {bad}")
     if len({r.id for r in out}) < len(out):
         raise RuleError("a rule id is used twice")
     if bad := [r.id for r in out if r.severity not in SEVERITIES]:
@@ -375,46 +385,65 @@ def message_of(rule: Rule, default: str, fields: dict[str, Column]) -> Column:
     return F.concat(*out)
 
 
+def _picked(which: Column, options: list[Column]) -> Column:
+    """The option of that number."""
+    out = options[-1]
+    for k in range(len(options) - 2, -1, -1):
+        out = F.when(which == k, options[k]).otherwise(out)
+    return out
+
+
 def run_rules(df: DataFrame, rules: list[Rule], table: str, row: Column | None = None) -> DataFrame:
     """The findings of all rules. Row rules share one scan; aggregates one aggregation; groups one for each key.
 
-    row: names a row; by default rows have none.
+    row: names a row; by default rows have none. Rules about some rows only need it.
     """
-    row = (row if row is not None else F.lit(None)).cast("long")
+    named, row = row is not None, (row if row is not None else F.lit(None)).cast("long")
+    if bad := [r.id for r in rules if r.scope or r.rows and not named]:
+        raise RuleError(f"scopes need run_book(), rows need a column that names them: {bad}")
     parsed = [(r, parse_check(r.check)) for r in rules]
-    nothing = F.lit(None).cast("string")
     found: list[DataFrame] = []
     per_row = [(r, n) for r, n in parsed if n.kind not in ("aggregate", "group")]
     if per_row:
-        columns = []
-        for rule, node in per_row:
-            c = Compiler(df, rule.column, rule)
-            wanted = F.lit(True)
-            if rule.when is not None:
-                wanted = _when(df, rule)
-            about_empty = node.kind in ("required", "not_empty")
-            empty = c.type == "empty"
-            error = c.type == "error"
-            broken = F.lit(True) if about_empty else ~empty
-            asks_error = "is_error" in node.canonical()
-            fails = wanted & broken & (~c.predicate(node) if asks_error else (error | ~c.predicate(node)))
-            text = message_of(rule, f"{rule.column} fails {rule.check}", {"value": c.value, "row": row, "column": F.lit(c.name), "table": F.lit(table)})
-            finding = F.struct(
-                F.lit(table).alias("table"), row.alias("row"), F.lit(c.name).alias("column"), F.lit(rule.id).alias("rule_id"),
-                F.lit(rule.severity).alias("severity"), c.value.cast("string").alias("value"), text.alias("message"), nothing.alias("group"),
-            )
-            columns.append(F.when(fails, finding))
-        found.append(df.select(F.explode(F.array_compact(F.array(*columns))).alias("f")).select("f.*"))
-    if totals := [(r, n) for r, n in parsed if n.kind == "aggregate"]:
-        found.append(_aggregate_findings(df, totals, table))
-    by_key: dict[str, list] = {}
-    for rule, node in parsed:
-        if node.kind == "group":
-            by_key.setdefault(node.args[1], []).append((rule, node))
-    found += [_group_findings(df, key, own, table) for key, own in by_key.items()]
+        found.append(_row_findings(df, per_row, table, row))
+    for rows in dict.fromkeys(r.rows for r, _ in parsed):
+        own = df if rows is None else df.where(row.between(*rows))
+        if totals := [(r, n) for r, n in parsed if n.kind == "aggregate" and r.rows == rows]:
+            found.append(_aggregate_findings(own, totals, table))
+        by_key: dict[str, list] = {}
+        for rule, node in parsed:
+            if node.kind == "group" and rule.rows == rows:
+                by_key.setdefault(node.args[1], []).append((rule, node))
+        found += [_group_findings(own, key, rules_, table) for key, rules_ in by_key.items()]
     return reduce(DataFrame.unionAll, found)
 
 
+def _row_findings(df: DataFrame, rules: list[tuple[Rule, Node]], table: str, row: Column) -> DataFrame:
+    """A row's broken rules are found as numbers; what a finding says is made from them afterwards, if anyone asks."""
+    broken, names, values, texts = [], [], [], []
+    for k, (rule, node) in enumerate(rules):
+        c = Compiler(df, rule.column, rule)
+        wanted = F.lit(True) if rule.when is None else _when(df, rule)
+        if rule.rows is not None:
+            wanted = wanted & total(row.between(*rule.rows))
+        about_empty = node.kind in ("required", "not_empty")
+        asks_error = "is_error" in node.canonical()
+        fails = ~c.predicate(node) if asks_error else ((c.type == "error") | ~c.predicate(node))
+        if not about_empty:
+            fails = (c.type != "empty") & fails
+        broken.append(F.when(wanted & fails, F.lit(k)))
+        names.append(c.name)
+        values.append(c.value.cast("string"))
+        texts.append(message_of(rule, f"{rule.column} fails {rule.check}", {"value": c.value, "row": F.col("__row"), "column": F.lit(c.name), "table": F.lit(table)}))
+    which = F.col("__rule")
+    one_of = lambda items: F.element_at(F.array(*[F.lit(x) for x in items]), which + 1)
+    marked = df.select("*", row.alias("__row"), F.explode(F.array_compact(F.array(*broken))).alias("__rule"))
+    return marked.select(
+        F.lit(table).alias("table"), F.col("__row").alias("row"), one_of(names).alias("column"), one_of([r.id for r, _ in rules]).alias("rule_id"),
+        one_of([r.severity for r, _ in rules]).alias("severity"), _picked(which, values).alias("value"), _picked(which, texts).alias("message"), F.lit(None).cast("string").alias("group"),
+    )
+
+
 def _when(df: DataFrame, rule: Rule) -> Column:
     """A filter: {"column": ..., "check": ...}, or a check on the rule's own column."""
     if isinstance(rule.when, dict) and "column" in rule.when:
