@@ -175,6 +175,10 @@ def to_markdown(root: Element) -> str:
             return re.sub(r"\s+", " ", node)
         if node.tag in SKIPPED:
             return ""
+        if node.tag == "math":
+            note = next((e for e in node.walk() if e.tag == "annotation" and "tex" in e.attrs.get("encoding", "").lower()), None)
+            raw = note.text() if note is not None else node.attrs.get("alttext") or node.text()
+            return f"$${raw}$$" if node.attrs.get("display") == "block" else f"${raw}$"
         inner = "".join(map(inline, node.children))
         if node.tag == "br":
             return "\n"
@@ -257,6 +261,74 @@ def reader_markdown(html: pd.Series) -> pd.Series:
     return html.map(read)
 
 
+def element_texts(html: Column, tag: str | None = None, cls: str | None = None, attr: str | None = None, value: str | None = None) -> Column:
+    """The texts of the elements of a tag, class or attribute, in the page's order."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: [] if h is None else [e.text() for e in find_all(parse(h), tag, cls, attr, value)])
+
+    return found(html)
+
+
+#: Marks of pages that scripts build: an almost empty element that a framework fills.
+APP_ROOTS = r"""(?is)<div[^>]+id=["'](?:root|app|__next|__nuxt|q-app)["'][^>]*>\s*</div>|<app-root[^>]*>\s*</app-root>|\bdata-reactroot\b|\bng-version="""
+
+
+def is_application(html: Column, least: int = 200) -> Column:
+    """Whether a page is built by scripts: it has the mark of a framework, or hardly any text beside many scripts."""
+    scripts = F.regexp_count(html, F.lit(r"(?i)<script\b"))
+    return F.coalesce((html.rlike(APP_ROOTS) & (text_length(html) < least)) | ((text_length(html) < least) & (scripts >= 5)), F.lit(False))
+
+
+_DROPPED = frozenset("script style noscript template iframe object embed canvas svg form button input select textarea dialog".split())
+_ADVERTS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|popup|modal|newsletter|social|share|related|comments?)(?:$|[\s_-])")
+_HIDING = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def preprocess(root: Element) -> Element:
+    """What a page has for machines or visitors' clicks goes: scripts and interactive parts, hidden elements, advertising, pixels, empty links
+    and blocks; lazy images get their address, wrappers of one block give way to it, headings lose their anchors, and relative breaks become spaces."""
+    for e in list(root.walk()):
+        if e.parent is None:
+            continue
+        words = f"{e.attrs.get('class', '')} {e.attrs.get('id', '')} {e.attrs.get('role', '')}"
+        hidden = "hidden" in e.attrs or e.attrs.get("aria-hidden") == "true" or _HIDING.search(e.attrs.get("style", ""))
+        advert = _ADVERTS.search(words) and e.tag not in ("html", "body", "main", "article")
+        pixel = e.tag == "img" and e.attrs.get("width") in ("0", "1") and e.attrs.get("height") in ("0", "1")
+        if e.tag in _DROPPED or hidden or advert or pixel:
+            e.parent.children = [c for c in e.parent.children if c is not e]
+        elif e.tag == "img":
+            late = e.attrs.get("data-src") or e.attrs.get("data-original") or (e.attrs.get("data-srcset", "").split() or [""])[0]
+            if late and (not e.attrs.get("src") or e.attrs["src"].startswith("data:")):
+                e.attrs["src"] = late
+    _prune(root)
+    return root
+
+
+def _prune(root: Element) -> None:
+    """Without links and blocks that hold nothing, from the leaves up; permalinks inside headings go, wrappers of a single block are left out."""
+    for e in reversed(list(root.walk())):
+        if e.parent is None:
+            continue
+        media = any(x.tag in ("img", "video", "audio", "table", "br", "hr") for x in e.walk())
+        if not media and not e.text() and e.tag in ("a", "p", "div", "span", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong"):
+            e.parent.children = [c for c in e.parent.children if c is not e]
+        elif e.tag == "a" and re.fullmatch(r"h[1-6]", e.parent.tag) and e.text() in ("#", "\u00b6", "\U0001f517"):
+            e.parent.children = [c for c in e.parent.children if c is not e]
+        elif e.tag == "div" and e.parent.tag == "div" and len([c for c in e.parent.children if isinstance(c, Element) or c.strip()]) == 1:
+            for c in e.children:
+                if isinstance(c, Element):
+                    c.parent = e.parent
+            e.parent.children = list(e.children)
+
+
+@F.pandas_udf(T.StringType())
+def clean_markdown(html: pd.Series) -> pd.Series:
+    """The page after preprocess(), as Markdown; navigation and such stay."""
+    return html.map(lambda h: None if h is None else to_markdown(preprocess(parse(h))))
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.StringType()))))
 def html_tables(html: pd.Series) -> pd.Series:
     """All tables as grids, spans filled."""

@@ -9,63 +9,113 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from dqspark.functions.binding import let
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class Pattern:
+    """needs: lower-case words of which a matching text holds one, so that most texts never meet the expression; none: any text."""
+
     name: str
     category: str
     severity: str
     regex: str
+    needs: tuple[str, ...] = ()
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Our own pattern sets; severities are critical, error and warning.
 SHELL = (
-    Pattern("recursive delete", "shell", "critical", r"\brm\s+-[a-z]*r[a-z]*f?\s+[/~]"),
-    Pattern("download and run", "shell", "critical", r"(?:curl|wget)\s[^|\n]*\|\s*(?:ba|z)?sh\b"),
-    Pattern("reverse shell", "shell", "critical", r"/dev/tcp/|\bnc\s+-[a-z]*e\b"),
-    Pattern("evaluated text", "shell", "error", r"\b(?:eval|exec)\s*\("),
-    Pattern("open permissions", "shell", "warning", r"\bchmod\s+(?:-R\s+)?0?777\b"),
-    Pattern("disk overwrite", "shell", "critical", r"\bdd\s+if=[^\n]*of=/dev/"),
+    Pattern("recursive delete", "shell", "critical", r"\brm\s+-[a-z]*r[a-z]*f?\s+[/~]", ("rm",)),
+    Pattern("download and run", "shell", "critical", r"(?:curl|wget)\s[^|\n]*\|\s*(?:ba|z)?sh\b", ("curl", "wget")),
+    Pattern("reverse shell", "shell", "critical", r"/dev/tcp/|\bnc\s+-[a-z]*e\b", ("/dev/tcp/", "nc")),
+    Pattern("evaluated text", "shell", "error", r"\b(?:eval|exec)\s*\(", ("eval", "exec")),
+    Pattern("open permissions", "shell", "warning", r"\bchmod\s+(?:-R\s+)?0?777\b", ("chmod",)),
+    Pattern("disk overwrite", "shell", "critical", r"\bdd\s+if=[^\n]*of=/dev/", ("dd",)),
+    Pattern("fork bomb", "shell", "critical", r"\(\)\s*\{[^}\n]*\|[^}\n]*&[^}\n]*\}\s*;", ("()",)),
+    Pattern("raw listener", "shell", "critical", r"\b(?:nc|ncat|netcat|socat)\s+[^\n]*(?:-l|LISTEN)", ("nc", "ncat", "netcat", "socat")),
+    Pattern("disk format", "shell", "critical", r"\bmkfs(?:\.[a-z0-9]+)?\s+/dev/", ("mkfs",)),
+    Pattern("device write", "shell", "critical", r">\s*/dev/(?:sd|hd|nvme)[a-z0-9]+", ("/dev/",)),
+    Pattern("raised privileges", "shell", "warning", r"\b(?:sudo|doas)\s+[a-z]", ("sudo", "doas")),
+    Pattern("set user id", "shell", "error", r"\bchmod\s+(?:[ugo]*\+s|[24][0-7]{3})\b", ("chmod",)),
+    Pattern("shell profile", "shell", "error", r">>?\s*(?:~|\$HOME)/\.(?:bashrc|zshrc|profile|bash_profile)\b", ("rc", "profile")),
+    Pattern("key folder", "shell", "error", r"(?:~|\$HOME|/root|/home/[a-z0-9_]+)/\.(?:ssh|aws|gnupg|kube)\b", (".ssh", ".aws", ".gnupg", ".kube")),
+    Pattern("account files", "shell", "error", r"/etc/(?:passwd|shadow|sudoers)\b", ("/etc/",)),
+    Pattern("scheduled job", "shell", "warning", r"\bcrontab\s+-|/etc/cron\.", ("cron",)),
+    Pattern("decoded and run", "shell", "critical", r"\bbase64\s+(?:-d|--decode|-D)\b[^\n]*\|\s*(?:ba|z)?sh\b", ("base64",)),
+    Pattern("inline interpreter", "shell", "warning", r"\b(?:python3?|perl|ruby|node)\s+-(?:c|e)\s", ("python", "perl", "ruby", "node")),
+    Pattern("erased history", "shell", "error", r"\bhistory\s+-c\b|\bunset\s+HISTFILE\b", ("history", "histfile")),
+    Pattern("firewall off", "shell", "error", r"\biptables\s+-F\b|\bufw\s+disable\b|\bsetenforce\s+0\b", ("iptables", "ufw", "setenforce")),
+    Pattern("process kill", "shell", "warning", r"\bkill(?:all)?\s+-9\s+-?1\b", ("kill",)),
 )
 KEYWORDS = (
-    Pattern("bypass", "keyword", "warning", r"(?i)\b(?:bypass|disable)\s+(?:security|safety|auth)"),
-    Pattern("exfiltrate", "keyword", "error", r"(?i)\bexfiltrat"),
-    Pattern("backdoor", "keyword", "error", r"(?i)\bbackdoor\b"),
+    Pattern("bypass", "keyword", "warning", r"(?i)\b(?:bypass|disable)\s+(?:security|safety|auth)", ("bypass", "disable")),
+    Pattern("exfiltrate", "keyword", "error", r"(?i)\bexfiltrat", ("exfiltrat",)),
+    Pattern("backdoor", "keyword", "error", r"(?i)\bbackdoor\b", ("backdoor",)),
+    Pattern("keylogger", "keyword", "error", r"(?i)\bkey\s?logger\b", ("logger",)),
+    Pattern("rootkit", "keyword", "error", r"(?i)\brootkit\b", ("rootkit",)),
+    Pattern("ransom", "keyword", "error", r"(?i)\bransomware\b", ("ransomware",)),
+    Pattern("credential theft", "keyword", "error", r"(?i)\b(?:steal|harvest|dump)\s+(?:credentials|passwords|tokens|cookies)\b", ("steal", "harvest", "dump")),
+    Pattern("hidden action", "keyword", "warning", r"(?i)\bwithout\s+(?:the\s+)?user(?:.s)?\s+(?:knowledge|consent)\b", ("without",)),
+    Pattern("crypto miner", "keyword", "error", r"(?i)\b(?:xmrig|cryptominer|coinhive)\b", ("xmrig", "cryptominer", "coinhive")),
 )
 INJECTION = (
-    Pattern("ignore instructions", "injection", "critical", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions|rules|prompts)"),
-    Pattern("new role", "injection", "error", r"(?i)\byou\s+are\s+now\s+(?:a|an|in)\b"),
-    Pattern("prompt leak", "injection", "error", r"(?i)\b(?:reveal|print|show)\s+(?:your|the)\s+(?:system\s+)?prompt\b"),
-    Pattern("jailbreak", "injection", "error", r"(?i)\bjailbreak|\bdo\s+anything\s+now\b"),
+    Pattern("ignore instructions", "injection", "critical", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions|rules|prompts)", ("ignore", "disregard", "forget")),
+    Pattern("new role", "injection", "error", r"(?i)\byou\s+are\s+now\s+(?:a|an|in)\b", ("now",)),
+    Pattern("prompt leak", "injection", "error", r"(?i)\b(?:reveal|print|show)\s+(?:your|the)\s+(?:system\s+)?prompt\b", ("prompt",)),
+    Pattern("jailbreak", "injection", "error", r"(?i)\bjailbreak|\bdo\s+anything\s+now\b", ("jailbreak", "anything")),
+    Pattern("system turn", "injection", "error", r"(?i)<\|?(?:system|im_start)\|?>|\[/?INST\]|(?:^|\n)\s*###\s*system\b", ("system", "im_start", "inst]")),
+    Pattern("override", "injection", "error", r"(?i)\b(?:override|replace)\s+(?:your|the|all)\s+(?:instructions|guidelines|rules)\b", ("override", "replace")),
+    Pattern("no limits", "injection", "error", r"(?i)\bwithout\s+(?:any\s+)?(?:restrictions|limitations|filters)\b", ("without",)),
+    Pattern("pretend", "injection", "warning", r"(?i)\b(?:pretend|act)\s+(?:to\s+be|as\s+if|as\s+though)\b", ("pretend", "act")),
+    Pattern("developer mode", "injection", "error", r"(?i)\b(?:developer|debug|god)\s+mode\b", ("mode",)),
+    Pattern("secrecy", "injection", "error", r"(?i)\bdo\s+not\s+(?:tell|inform|alert)\s+the\s+user\b", ("user",)),
+    Pattern("encoded order", "injection", "warning", r"(?i)\b(?:decode|decrypt)\s+(?:this|the\s+following)\s+and\s+(?:run|execute|follow)\b", ("decode", "decrypt")),
+    Pattern("end of prompt", "injection", "warning", r"(?i)\bend\s+of\s+(?:system\s+)?(?:prompt|instructions)\b", ("prompt", "instructions")),
+    Pattern("hypothetical", "injection", "warning", r"(?i)\bhypothetically\b[^.\n]{0,80}\b(?:no\s+rules|unfiltered)\b", ("hypothetically",)),
 )
 PERSONAL = (
-    Pattern("email", "personal", "warning", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    Pattern("email", "personal", "warning", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", ("@",)),
     Pattern("ipv4", "personal", "warning", rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"),
-    Pattern("national id", "personal", "error", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    Pattern("national id", "personal", "error", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", ("-",)),
     Pattern("card number", "personal", "error", r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){3}\b"),
     Pattern("phone", "personal", "warning", r"\+?[0-9]{1,3}[ \-]\(?[0-9]{3}\)?[ \-][0-9]{3}[ \-][0-9]{4}\b"),
 )
 SECRETS = (
-    Pattern("access key", "secret", "critical", r"\bAKIA[0-9A-Z]{16}\b"),
-    Pattern("private key", "secret", "critical", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    Pattern("service token", "secret", "critical", r"\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}"),
-    Pattern("assigned secret", "secret", "error", r"(?i)\b(?:password|passwd|secret|api[_\-]?key|token)\s*[:=]\s*[^\s]{8,}"),
+    Pattern("access key", "secret", "critical", r"\bAKIA[0-9A-Z]{16}\b", ("akia",)),
+    Pattern("private key", "secret", "critical", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", ("-----begin",)),
+    Pattern("service token", "secret", "critical", r"\b(?:ghp|gho|ghs)_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}", ("ghp_", "gho_", "ghs_", "sk-")),
+    Pattern("assigned secret", "secret", "error", r"(?i)\b(?:password|passwd|secret|api[_\-]?key|token)\s*[:=]\s*[^\s]{8,}", ("password", "passwd", "secret", "key", "token")),
+    Pattern("chat token", "secret", "critical", r"\bxox[abprs]-[0-9A-Za-z\-]{10,}", ("xox",)),
+    Pattern("bearer token", "secret", "error", r"(?i)\bbearer\s+[A-Za-z0-9._\-]{20,}", ("bearer",)),
+    Pattern("project token", "secret", "critical", r"\bglpat-[A-Za-z0-9_\-]{20}|\bnpm_[A-Za-z0-9]{36}\b", ("glpat-", "npm_")),
+    Pattern("map key", "secret", "critical", r"\bAIza[0-9A-Za-z_\-]{35}", ("aiza",)),
+    Pattern("web token", "secret", "error", r"\beyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.", ("eyj",)),
+    Pattern("address with password", "secret", "error", r"\b[a-z][a-z0-9+]*://[^\s/:@]+:[^\s/@]+@", ("://",)),
 )
 ALL = (*SHELL, *KEYWORDS, *INJECTION, *PERSONAL, *SECRETS)
 
 LONG_LINE, ENTROPY_CHARS, ENTROPY_BITS = 500, 50, 5.8
 
 
+def may_match(lower: Column, p: Pattern) -> Column:
+    """Whether a text, given in lower case, holds a word that the pattern needs."""
+    return reduce(lambda a, b: a | b, [lower.contains(n) for n in p.needs], F.lit(False)) if p.needs else F.lit(True)
+
+
+def matches(text: Column, p: Pattern, lower: Column | None = None) -> Column:
+    return may_match(F.lower(text) if lower is None else lower, p) & text.rlike(p.regex)
+
+
 def counts(text: Column, patterns: tuple[Pattern, ...]) -> list[Column]:
     """The number of matches of each pattern, as columns named n_<name>."""
-    return [F.coalesce(F.regexp_count(text, F.lit(p.regex)), F.lit(0)).cast("long").alias("n_" + p.name.replace(" ", "_")) for p in patterns]
+    count = lambda p: F.when(may_match(F.lower(text), p), F.regexp_count(text, F.lit(p.regex)))
+    return [F.coalesce(count(p), F.lit(0)).cast("long").alias("n_" + p.name.replace(" ", "_")) for p in patterns]
 
 
 def first_line(text: Column, regex: str) -> Column:
@@ -77,38 +127,34 @@ def first_line(text: Column, regex: str) -> Column:
 
 def issues(df: DataFrame, key: str, text: str, patterns: tuple[Pattern, ...] = ALL) -> DataFrame:
     """(key, name, category, severity, line): one for each pattern that a document matches, in one scan."""
+    own = df.select(key, F.col(text).alias("_t"), F.lower(text).alias("_l"))
     found = [
         F.when(
-            F.col(text).rlike(p.regex),
-            F.struct(F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.severity).alias("severity"), first_line(F.col(text), p.regex).cast("long").alias("line")),
+            matches(F.col("_t"), p, F.col("_l")),
+            F.struct(F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.severity).alias("severity"), first_line(F.col("_t"), p.regex).cast("long").alias("line")),
         )
         for p in patterns
     ]
-    return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("i")).select(key, "i.*")
+    return own.select(key, F.explode(F.array_compact(F.array(*found))).alias("i")).select(key, "i.*")
 
 
-def risk_level(text: Column, patterns: tuple[Pattern, ...] = ALL) -> Column:
+def risk_level(text: Column, patterns: tuple[Pattern, ...] = ALL, lower: Column | None = None) -> Column:
     """DANGER if any critical pattern matches, else CAUTION if an error one does, else SAFE; warnings raise nothing."""
-    any_of = lambda s: reduce(lambda a, b: a | b, [text.rlike(p.regex) for p in patterns if p.severity == s], F.lit(False))
+    any_of = lambda s: reduce(lambda a, b: a | b, [matches(text, p, lower) for p in patterns if p.severity == s], F.lit(False))
     return F.when(any_of("critical"), "DANGER").when(any_of("error"), "CAUTION").otherwise("SAFE")
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits, by arrays alone."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-
-    def from_chars(cs: Column) -> Column:
-        # ends of runs in the sorted characters give the counts
-        n = F.size(cs)
-        ends = F.filter(F.sequence(F.lit(1), n), lambda k: (k == n) | (F.get(cs, k - 1) != F.get(cs, k)))
-        return F.when(n > 0, let(ends, lambda e: bits(e, n))).otherwise(0.0)
+@F.pandas_udf(T.DoubleType())
+def entropy(text: pd.Series) -> pd.Series:
+    """Shannon entropy of a text's characters in bits; 0 for an empty one, null for null."""
 
-    def bits(ends: Column, n: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-        sizes = F.zip_with(ends, starts, lambda b, a: b - a)
-        return F.aggregate(sizes, F.lit(0.0), lambda acc, c: acc - c / n * F.log2(c / n))
+    def bits(t: str | None) -> float | None:
+        if not t:
+            return None if t is None else 0.0
+        n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)[1] / len(t)
+        return float(-(n * np.log2(n)).sum())
 
-    return let(chars, from_chars)
+    return text.map(bits)
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -160,8 +206,8 @@ def polyglots(files: DataFrame, suffixes: tuple[str, ...] = ("md", "txt", "json"
 
 def missing_references(documents: DataFrame, key: str, text: str, files: DataFrame) -> DataFrame:
     """(key, path): relative link targets of Markdown documents that are not among files (path)."""
-    target = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\]\(((?:\./)?[A-Za-z0-9_][A-Za-z0-9_./\-]*)\)"), F.lit(1))))
-    refs = documents.select(key, target.alias("path")).withColumn("path", F.regexp_replace("path", r"^\./", ""))
+    found = F.regexp_extract_all(F.col(text), F.lit(r"\]\(((?:\./)?[A-Za-z0-9_][A-Za-z0-9_./\-]*)\)"), F.lit(1))
+    refs = documents.select(key, F.explode(F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"^\./", "")))).alias("path"))
     return refs.join(files.select("path").distinct(), "path", "left_anti").select(key, "path")
 
 

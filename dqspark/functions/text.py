@@ -152,6 +152,46 @@ def first_sentence(text: Column) -> Column:
     return F.when(end > 0, F.substring(flat, F.lit(1), end)).otherwise(F.substring(flat, 1, SENTENCE_CHARS))
 
 
+def page_summary(description: Column, body: Column) -> Column:
+    """One line about a page: its description, else the first sentence of its summary section, else of its first plain paragraph."""
+    lines = F.filter(F.split(F.regexp_replace(body, r"(?s)^---\r?\n.*?\r?\n---\s*(?:\r?\n|$)", ""), r"\r?\n"), lambda x: ~x.rlike(r"^\s*(?:#|[-*+>|]|\d+\.|$)"))
+    summary = F.nullif(clean(section(body, "Summary")), F.lit(""))
+    return F.coalesce(F.nullif(clean(description), F.lit("")), first_sentence(summary), first_sentence(F.get(lines, F.lit(0))), F.lit(""))
+
+
+#: Our own words that promise nothing, and marks of unfinished text.
+WEAK = r"(?i)\b(?:should|could|might|maybe|perhaps|usually|generally|try to|if possible|as needed|appropriate(?:ly)?)\b"
+PLACEHOLDER = r"(?i)\b(?:TODO|TBD|FIXME|XXX)\b|<(?:your|insert)[^>\n]*>|\[(?:placeholder|insert[^\]\n]*)\]|lorem ipsum"
+WINDOWS_PATH = r"\b[A-Za-z]:\\[^\s`'\"]+|(?:[\w.-]+\\){1,8}[\w.-]+\.\w{1,5}\b"
+
+
+def structure_gaps(text: Column, sections: tuple[str, ...]) -> Column:
+    """What a document lacks or should not have, as an array of (gap, detail, line): missing sections, weak words, placeholders, backslash paths.
+
+    Fenced code is not looked at; line is that of the match, null for a missing section.
+    """
+    body = F.regexp_replace(text, r"(?ms)^```.*?^```[ \t]*$", "")
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    gap = lambda kind, detail, line: F.struct(F.lit(kind).alias("gap"), detail.alias("detail"), line.alias("line"))
+    none = F.lit(None).cast("int")
+    missing = [F.when(~F.coalesce(body.rlike(rf"(?mi)^#{{1,6}}[ \t]+{re.escape(s)}\b"), F.lit(False)), gap("section", F.lit(s), none)) for s in sections]
+    step = lambda acc, line: F.struct((acc["open"] != line.rlike(r"^\s{0,3}```")).alias("open"), F.concat(acc["out"], F.array(F.when(acc["open"] | line.rlike(r"^\s{0,3}```"), F.lit("")).otherwise(line))).alias("out"))
+    prose = F.aggregate(lines, F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+    numbered = F.transform(prose, lambda line, k: F.struct(line.alias("line"), (k + 1).alias("k")))
+    marks = lambda kind, pattern: F.flatten(F.transform(numbered, lambda x: F.transform(F.regexp_extract_all(x["line"], F.lit(f"({pattern})"), F.lit(1)), lambda m: gap(kind, m, x["k"]))))
+    return F.concat(F.array_compact(F.array(*missing)), marks("weak word", WEAK), marks("placeholder", PLACEHOLDER), marks("path", WINDOWS_PATH))
+
+
+def description_text(fields: dict[str, Column], title: Column, body: Column) -> Column:
+    """A description file: front matter, the title as heading, and the body with its own headings one level down, outside of code."""
+    lower = F.regexp_replace(body, r"(?m)^(#{1,5})(?=[ \t])", "$1#")
+    parts = F.split(body, r"(?ms)^```.*?^```[ \t]*$")
+    code = F.regexp_extract_all(body, F.lit(r"(?ms)(^```.*?^```[ \t]*$)"), F.lit(1))
+    woven = F.zip_with(F.transform(parts, lambda p: F.regexp_replace(p, r"(?m)^(#{1,5})(?=[ \t])", "$1#")), code, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    shown = F.when(F.size(code) > 0, F.array_join(woven, "")).otherwise(lower)
+    return F.concat(front_matter_text(fields), F.lit("\n# "), clean(title), F.lit("\n\n"), shown, F.lit("\n"))
+
+
 def wiki_links(masked: Column) -> Column:
     """(target, anchor) of [[target#anchor|label]] in masked text; embeds are left out."""
     found = F.regexp_extract_all(F.concat(F.lit(" "), masked), F.lit(r"[^!]\[\[([^\]\[|]+)(?:\|[^\]]*)?\]\]"), F.lit(1))

@@ -21,13 +21,15 @@ LEADING_ZERO_PATTERN = r"^[+-]?0\d+$"
 ISO_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 ISO_DATETIME_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 EPOCH = "1899-12-30"
-#: Serial numbers taken for dates when a column asks for it: 1900-01-01 to 2199-12-31.
-SERIAL_DATES = (2, 109575)
+#: Serial numbers taken for dates when a column asks for it, 1970-01-01 to 2099-12-31.
+SERIAL_DATES = (25569, 73050)
+#: White space of ASCII and Unicode's separators.
+WHITE = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(col: Column) -> Column:
     """Without white space (Unicode's) at both ends."""
-    return F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.btrim(col, F.lit(WHITE))
 
 
 def logical_type(col: Column, kind: T.DataType, dates: bool = False) -> Column:
@@ -168,6 +170,11 @@ def strip_inline_markdown(col: Column) -> Column:
     return F.regexp_replace(out, r"(\*\*|__|\*|~~)(\S(?:.*?\S)?)\1", "$2")
 
 
+def flat_runs(runs: Column) -> Column:
+    """The text of rich text, an array of runs with a field text; null runs and texts count as empty."""
+    return F.array_join(F.transform(F.coalesce(runs, F.array()), lambda r: F.coalesce(r["text"], F.lit(""))), "")
+
+
 def slug(col: Column) -> Column:
     out = F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}_]+", "-")
     return F.regexp_replace(out, r"^-+|-+$", "")

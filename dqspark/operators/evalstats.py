@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.binding import let
+from dqspark.session import shared_dir
 
 
 def half_up(col: Column, digits: int = 4) -> Column:
@@ -80,6 +81,17 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(let(words, lambda w: F.when(F.size(w) > 1, pairs(w)).otherwise(w)))
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds _place, from 0 in an order, without bringing all rows to one task: places inside ranges, and the rows before each range."""
+    shared_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()  # the ranges must stay as they are
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    bases = totals.select("_range", before.alias("_base"))
+    return ranged.join(F.broadcast(bases), "_range").withColumn("_place", F.col("_base") + inside).drop("_range", "_base")
+
+
 def diversity(df: DataFrame, order: str, text: str) -> DataFrame:
     """1 less the mean Jaccard similarity of bigram sets: over all pairs of up to PAIR_CAP texts, else around the ring in order."""
     grams = df.where(F.trim(text) != "").select(F.col(order).alias("_o"), bigrams(F.col(text)).alias("_g"))
@@ -91,10 +103,9 @@ def diversity(df: DataFrame, order: str, text: str) -> DataFrame:
         a, b = grams.alias("a"), grams.alias("b")
         pairs = a.join(b, F.col("a._o") < F.col("b._o")).select(share(F.col("a._g"), F.col("b._g")).alias("_s"))
     else:
-        everything = Window.orderBy("_o")
-        ring = grams.withColumn("_next", F.lead("_g").over(everything))
-        first = grams.agg(F.min_by("_g", "_o").alias("_first"))
-        pairs = ring.join(F.broadcast(first)).select(share(F.col("_g"), F.coalesce("_next", "_first")).alias("_s"))
+        ring = numbered(grams, ["_o"])
+        after = ring.select(F.pmod(F.col("_place") - 1, F.lit(n)).alias("_place"), F.col("_g").alias("_next"))
+        pairs = ring.join(after, "_place").select(share(F.col("_g"), F.col("_next")).alias("_s"))
     return pairs.agg(half_up(1 - F.avg("_s")).alias("diversity"))
 
 
@@ -159,6 +170,11 @@ def differing(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> DataF
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionAll(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def lost_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of before, with their repeats, that after no longer has."""
+    return before.exceptAll(after)
+
+
 def preserved(before: DataFrame, after: DataFrame) -> bool:
     """Whether every row of before is still there."""
-    return before.exceptAll(after).isEmpty()
+    return lost_rows(before, after).isEmpty()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqspark.session import shared_dir
+
 LAST_ROW = 9223372036854775807
 
 
@@ -22,12 +24,14 @@ def ordered(findings: DataFrame) -> DataFrame:
 def collapse(findings: DataFrame, n: int, samples: int = 10) -> DataFrame:
     """The first n findings of each rule; the rest of a rule as one row with their number and some rows.
 
-    Ranks are asked for up to n + samples only, which each task cuts off before the shuffle;
-    the numbers come from a combinable count.
+    Ranks are asked for up to n + samples only, which each task cuts off before the shuffle,
+    and what is left of that is kept; the numbers come from a combinable count. So the rules
+    run twice, once without their messages.
     """
+    shared_dir(findings.sparkSession)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order())])
     ranked = findings.withColumn("_key", key).withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy("_key")))
-    top = ranked.where(F.col("_rank") <= n + samples).drop("_key")
+    top = ranked.where(F.col("_rank") <= n + samples).drop("_key").checkpoint()
     first = top.where(F.col("_rank") <= n).drop("_rank").withColumn("collapsed", F.lit(None).cast("long"))
     totals = findings.groupBy("rule_id").agg(
         F.min("table").alias("table"), F.min("column").alias("column"), F.min("severity").alias("severity"), (F.count(F.lit(1)) - n).alias("collapsed")
@@ -65,10 +69,26 @@ def summary(findings: DataFrame, rows_checked: int | None = None) -> DataFrame:
         count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"),
         F.count_distinct("rule_id").alias("rules_broken"),
     )
-    out = out.withColumn("ok", F.col("errors") == 0).withColumn("exit_code", F.when(F.col("errors") > 0, 1).when(F.col("warnings") > 0, 2).otherwise(0))
+    out = out.withColumn("ok", F.col("errors") == 0).withColumn("exit_code", exit_code(F.col("errors"), F.col("warnings")))
     return out if rows_checked is None else out.withColumn("rows_checked", F.lit(rows_checked))
 
 
+def exit_code(errors: Column, warnings: Column, strict: bool = False) -> Column:
+    """0 if all is well, 1 with errors, 2 with warnings alone (1 if strict)."""
+    return F.when(errors > 0, 1).when(warnings > 0, 1 if strict else 2).otherwise(0)
+
+
+def comments(findings: DataFrame) -> DataFrame:
+    """(table, row, column, text): the findings about rows as comments, those of one cell joined; others have no cell to stand at."""
+    text = F.concat(F.lit("["), F.col("severity"), F.lit("] "), F.col("rule_id"), F.lit(": "), F.col("message"))
+    return findings.where("row is not null").groupBy("table", "row", "column").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("text"))
+
+
+def without_cell(findings: DataFrame) -> DataFrame:
+    """(dropped): the number of findings that comments() leaves out."""
+    return findings.agg(F.count_if(F.col("row").isNull()).alias("dropped"))
+
+
 def with_severity(findings: DataFrame, *severities: str) -> DataFrame:
     """What the output shows; counters are made before."""
     return findings.where(F.col("severity").isin(*severities))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.binding import let
@@ -30,6 +30,12 @@ def dangling(edges: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def layer_dangling(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(layer, target, n_referrers): targets that no layer has as a page, for each layer that links to them. edges: layer, src, target; pages: name."""
+    lost = edges.join(pages.select(F.col("name").alias("target")).distinct(), "target", "left_anti")
+    return lost.groupBy("layer", "target").agg(F.count_distinct("src").alias("n_referrers"))
+
+
 def orphans(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages other than sources that no other page links to. pages: name, kind."""
     inbound = edges.where("src != target").select(F.col("target").alias("name")).distinct()
@@ -60,8 +66,8 @@ def bad_prefixes(footnotes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Footnotes (name, target) whose target does not start with a known prefix and a slash. prefixes: prefix."""
     # the prefix is looked up by equality among the target's own leading paths
     parts = F.split("target", "/")
-    leads = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
-    good = footnotes.withColumn("prefix", leads).join(prefixes.select("prefix").distinct(), "prefix", "left_semi").select("name", "target").distinct()
+    leads = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    good = footnotes.where(F.size(parts) > 1).withColumn("prefix", leads).join(prefixes.select("prefix").distinct(), "prefix", "left_semi").select("name", "target").distinct()
     return footnotes.join(good, ["name", "target"], "left_anti")
 
 
@@ -94,3 +100,11 @@ def search(pages: DataFrame, key: str, text: str, terms: list[str], limit: int |
     score = F.regexp_count(F.lower(text), F.lit(alternation(terms))).cast("long")
     out = pages.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key)
     return out if limit is None else out.limit(limit)
+
+
+def limited(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of a report and, beside each, whether there are more: truncated."""
+    first = df.orderBy(*order).limit(n + 1)
+    rank = F.row_number().over(Window.orderBy(*order))  # of n + 1 rows
+    marked = first.withColumn("_rank", rank).withColumn("truncated", F.max("_rank").over(Window.partitionBy(F.lit(0))) > n)
+    return marked.where(F.col("_rank") <= n).drop("_rank")

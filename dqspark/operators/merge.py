@@ -67,6 +67,14 @@ def contradictions(facts: DataFrame, key: str, text: str) -> DataFrame:
     return both.select(F.col("a.k").alias("left_id"), F.col("b.k").alias("right_id"), F.col("a.head").alias("head"))
 
 
+def contradiction_groups(facts: DataFrame, key: str, text: str) -> DataFrame:
+    """(head, n_facts, n_texts): heads of contradictions() with more than one text, a row for each however many pairs they make."""
+    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    own = facts.select(words.alias("w"), F.lower(text).alias("t")).where(F.size("w") >= 3)
+    groups = own.groupBy(F.concat_ws(" ", F.slice("w", 1, 2)).alias("head")).agg(F.count(F.lit(1)).alias("n_facts"), F.count_distinct("t").alias("n_texts"))
+    return groups.where("n_texts > 1")
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], update: bool = True) -> DataFrame:
     """Rows of changes by key over current ones; without update only new keys come in. Doing it twice changes nothing."""
     if update:
@@ -108,3 +116,20 @@ def promote(pages: DataFrame, root: str) -> DataFrame:
     ).where(F.size("layers") > 1)
     heads = F.transform("facts", lambda f: F.array_join(F.slice(F.split(F.lower(f), r"\s+"), 1, 2), " "))
     return groups.withColumn("contradicted", F.size(F.array_distinct(heads)) < F.size("facts")).withColumn("layer", F.lit(root))
+
+
+def demote(pages: DataFrame, root: str, names: DataFrame) -> DataFrame:
+    """The pages after those of the root layer with a name in names have gone back to the layers that their facts come from.
+
+    pages: layer, name, description, facts (array of struct with layer and text). A page of a
+    layer gets the root page's facts of that layer, once; facts without a layer stay nowhere else
+    than at a page of the layer "unplaced".
+    """
+    gone = pages.where(F.col("layer") == root).join(names.select("name").distinct(), "name", "left_semi")
+    placed = gone.select("name", "description", F.explode("facts").alias("fact"))
+    back = placed.groupBy(F.coalesce("fact.layer", F.lit("unplaced")).alias("layer"), "name").agg(F.first("description").alias("description"), F.collect_list("fact").alias("facts"))
+    rest = pages.join(gone.select("layer", "name"), ["layer", "name"], "left_anti")
+    both = rest.select("layer", "name", "description", "facts").unionByName(back)
+    return both.groupBy("layer", "name").agg(
+        F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts")
+    )

@@ -5,10 +5,13 @@ A sheet is its non-empty cells in long form: (sheet, row, col, value).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.functions.binding import let
+from dqspark.operators.merge import suffixed_names
 
 
 def islands(df: DataFrame, by: list[str], place: str, gap: int, label: str = "island") -> DataFrame:
@@ -73,13 +76,23 @@ def reserved(name: Column, most: int = 255) -> Column:
     return (bare == "") | (F.length(bare) > most) | bare.rlike(r"^(_xlnm\.|_xlfn\.|_xlpm\.|print_area$|print_titles$|criteria$|extract$|database$)")
 
 
+def header_depths(spans: DataFrame, regions: DataFrame) -> DataFrame:
+    """(sheet, top, depth) of each region (sheet, top, left, bottom, right): the rows from its top that horizontal spans in it cover without a gap, and one row of labels."""
+    box = regions.select("sheet", F.col("top").alias("_t"), F.col("left").alias("_l"), F.col("bottom").alias("_b"), F.col("right").alias("_r"))
+    wide = spans.where(F.col("right") > F.col("left")).join(box, "sheet").where("bottom >= _t AND top <= _b AND left <= _r AND right >= _l")
+    rows = wide.select("sheet", "_t", "_l", F.explode(F.sequence(F.greatest("top", "_t"), F.least("bottom", "_b"))).alias("_row")).distinct()
+    place = F.row_number().over(Window.partitionBy("sheet", "_t", "_l").orderBy("_row"))
+    # rows in order without a gap have the same distance to their place
+    run = rows.withColumn("_k", place).where(F.col("_row") - F.col("_t") + 1 == F.col("_k")).groupBy("sheet", "_t", "_l").agg(F.count(F.lit(1)).alias("_n"))
+    return box.join(run, ["sheet", "_t", "_l"], "left").select("sheet", F.col("_t").alias("top"), F.col("_l").alias("left"), (F.coalesce("_n", F.lit(0)) + 1).cast("int").alias("depth"))
+
+
 def header_depth(spans: DataFrame, top: int) -> int:
-    """Header rows of a region: the rows from its top that horizontal spans cover without a gap, and one row of labels."""
-    rows = [r[0] for r in spans.where(F.col("right") > F.col("left")).select(F.explode(F.sequence("top", "bottom")).alias("r")).distinct().orderBy("r").limit(64).collect()]
-    depth = 0
-    while top + depth in rows:
-        depth += 1
-    return depth + 1
+    """The same for one region of one sheet, from its top to the end of the sheet."""
+    below = spans.where((F.col("right") > F.col("left")) & (F.col("bottom") >= top))
+    rows = below.select(F.explode(F.sequence(F.greatest("top", F.lit(top)), F.col("bottom"))).alias("_row")).distinct()
+    run = rows.withColumn("_k", F.row_number().over(Window.orderBy("_row"))).where(F.col("_row") - top + 1 == F.col("_k"))  # header rows of one sheet
+    return run.count() + 1
 
 
 def flat_headers(cells: DataFrame, spans: DataFrame, top: int, depth: int, sep: str = " / ") -> DataFrame:
@@ -169,3 +182,42 @@ def pipe_table(block: Column) -> Column:
 
     heads = lambda ls: F.struct(ls.alias("lines"), cells(F.get(ls, F.lit(0))).alias("header"), cells(F.get(ls, F.lit(1))).alias("marks"))
     return let(lines, lambda ls: let(heads(ls), table))
+
+
+def read_region(cells: DataFrame, spans: DataFrame, box: tuple[str, int, int, int, int], policy: str = "anchor", depth: int | None = None, header: str = "flat") -> tuple[DataFrame, list[str]]:
+    """A region (sheet, top, left, bottom, right) as a table of texts, with the warnings that reading it gives.
+
+    Its merged spans are resolved, its header rows (depth of them, else as header_depth() finds)
+    become column names: flat joins the levels, leaf keeps the last; missing ones are col_<n>,
+    repeated ones get a suffix. Rows keep their place in the sheet as _row.
+    """
+    sheet, top, left, bottom, right = box
+    inside = lambda c: (F.col("sheet") == sheet) & F.col("row").between(top, bottom) & F.col("col").between(left, right)
+    own = cells.where(inside(None)).select("sheet", "row", "col", "value")
+    merged = spans.where((F.col("sheet") == sheet) & (F.col("top") >= top) & (F.col("bottom") <= bottom) & (F.col("left") >= left) & (F.col("right") <= right))
+    depth = header_depth(merged, top) if depth is None else depth
+    warnings = [f"the span at row {r['top']}, column {r['left']} reaches from the header into the data" for r in straddling(merged, top, depth).orderBy("top", "left").limit(100).collect()]
+    heads = {r["col"]: r["header"] for r in flat_headers(own, merged, top, depth).collect()} if depth else {}
+    names = []
+    for place, col in enumerate(range(left, right + 1), 1):
+        text = heads.get(col) or f"col_{place}"
+        names.append(text.split(" / ")[-1] if header == "leaf" else text)
+    unique = suffixed_names(names)
+    if unique != names:
+        warnings.append("headers are used twice: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
+    data = fill_spans(own, merged, policy).where(F.col("row") >= top + depth)
+    wide = data.groupBy(F.col("row").alias("_row")).agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(n) for c, n in zip(range(left, right + 1), unique, strict=True)])
+    return wide, warnings
+
+
+def payloads(cells: DataFrame, spans: DataFrame, regions: DataFrame, mode: str = "auto", sheet: str | None = None, **how) -> Iterator[tuple[str, str, DataFrame, list[str]]]:
+    """(sheet, region name, table, warnings) of the regions that a mode asks for, in order: tables (declared ones and ranges), gaps, whole (a region for each sheet) or auto (all but whole).
+
+    regions: as detect() gives them.
+    """
+    chosen = whole_sheets(cells).withColumns({"source": F.lit("whole"), "name": F.lit(None).cast("string")}) if mode == "whole" else regions
+    if mode in ("tables", "gaps"):
+        chosen = chosen.where(F.col("source") == "gap" if mode == "gaps" else F.col("source") != "gap")
+    chosen = chosen if sheet is None else chosen.where(F.col("sheet") == sheet)
+    for k, r in enumerate(chosen.orderBy("sheet", "top", "left").collect(), 1):  # as many as a person lays out
+        yield r["sheet"], r["name"] or f"region_{k}", *read_region(cells, spans, (r["sheet"], r["top"], r["left"], r["bottom"], r["right"]), **how)
