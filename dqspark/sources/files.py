@@ -44,6 +44,33 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return data.toDF(*suffixed_names(names)), twice
 
 
+def encoding_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, offset): files that are no UTF-8, with the place of the first bad byte."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    bad = files.where(~F.is_valid_utf8(F.col("content").cast("string")))
+    # what stands before the first replacement character that the bytes themselves do not spell
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    clean = F.substring_index(text, "\uFFFD", 1)
+    return bad.select("path", "length", F.octet_length(clean).cast("long").alias("offset"))
+
+
+def acquire(spark: SparkSession, ref: str, pages: DataFrame | None = None) -> DataFrame:
+    """(ref, frame, url, html) of what a reference names: an archive, an address among pages (url, html), or files.
+
+    Addresses are never fetched: without a row for one there is none.
+    """
+    from dqspark.sources.archives import read_archives
+
+    if "://" in ref and ref.split("://", 1)[0].lower() in ("http", "https"):
+        if pages is None:
+            raise ValueError("an address needs a table of pages")
+        return pages.where(F.col("url") == ref).select(F.lit(ref).alias("ref"), F.lit(0).alias("frame"), "url", "html")
+    if ref.lower().endswith((".mht", ".mhtml", ".webarchive")):
+        return read_archives(spark, ref).select(F.lit(ref).alias("ref"), "frame", "url", "html")
+    files = spark.read.format("binaryFile").load(ref)
+    return files.select(F.lit(ref).alias("ref"), F.lit(0).alias("frame"), F.col("path").alias("url"), decoded(F.col("content")).alias("html"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of objects or a single object a file; keys are united, broken files give a row in _corrupt_record."""
     return spark.read.json(path, multiLine=True, mode="PERMISSIVE")
@@ -80,7 +107,8 @@ def decoded(content: Column, fallback: str = "ISO-8859-1") -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, fallback))
 
 
-KINDS = {"_sources": "source", "concepts": "concept", "entities": "entity"}
+#: The folders of a vault and the kinds of pages in them. The plain names are read too.
+KINDS = {"_sources": "source", "_concepts": "concept", "_entities": "entity", "concepts": "concept", "entities": "entity"}
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
@@ -115,14 +143,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     json_of = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(path, multiLine=True)
     runs = json_of("grading.json", RUN_SCHEMA).select(*key(), "summary", "timing", "execution_metrics").where("summary IS NOT NULL AND eval_id != ''")
     times = json_of("timing.json", "total_duration_seconds double").select(*key(), F.col("total_duration_seconds").alias("_s"))
-    return runs.join(times, ["eval_id", "config", "run_number"], "left").select(
+    return with_times(runs, times, ["eval_id", "config", "run_number"], F.col("timing.total_duration_seconds"), "_s").select(
         "eval_id", "config", F.col("run_number").cast("int").alias("run_number"), "summary.pass_rate", "summary.passed", "summary.failed", "summary.total",
-        F.coalesce("timing.total_duration_seconds", "_s").alias("time_seconds"), F.col("execution_metrics.tokens").alias("tokens"),
+        "time_seconds", F.col("execution_metrics.tokens").alias("tokens"),
         F.col("execution_metrics.output_chars").alias("output_chars"), F.col("execution_metrics.total_tool_calls").alias("tool_calls"),
         F.coalesce("execution_metrics.errors_encountered", F.lit(0)).alias("errors"),
     )
 
 
+def with_times(runs: DataFrame, times: DataFrame, keys: list[str], own: Column, other: str) -> DataFrame:
+    """Adds time_seconds: the run's own time, else the one that the table beside has for its keys, else null."""
+    return runs.join(times.select(*keys, other), keys, "left").withColumn("time_seconds", F.coalesce(own, F.col(other))).drop(other)
+
+
 def read_tree(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
     """(path, length, text) of text files up to a size, at any depth; binary ones (a zero byte near the start) are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most)
@@ -138,5 +171,8 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_urls(raw: Column, most: int) -> Column:
-    """Addresses in a search response, once each, in order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(raw, F.lit(r"(https?://[^\s\"'<>\\]+)"), F.lit(1))), 1, most)
+    """Addresses in a search response, once each, in order: the url fields of its data, results or list, else all that look like one."""
+    listed = [F.get_json_object(raw, f"{path}[*].url") for path in ("$.data", "$.results", "$")]
+    fields = F.coalesce(*[F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.isNotNull(), F.array(F.btrim(x, F.lit('"')))) for x in listed])
+    swept = F.regexp_extract_all(raw, F.lit(r"(https?://[^\s\"'<>\\]+)"), F.lit(1))
+    return F.slice(F.array_distinct(F.filter(F.coalesce(fields, swept), lambda u: u.rlike("^https?://"))), 1, most)
