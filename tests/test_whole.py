@@ -21,14 +21,14 @@ def test_islands_and_overlaps_of_all_ids(spark, tmp_path):
             else:
                 islands.append([day])
         want |= {(key, i, x[0], x[-1], len(x)) for i, x in enumerate(islands)}
-    out = QUERIES["b02_islands_all"](spark, str(tmp_path)).collect()
+    out = QUERIES["b02_islands"](spark, str(tmp_path)).collect()
     assert len(out) == len(want) and {tuple(r) for r in out} == want
 
     parts = [(k, rng.randrange(1, 51)) for k in range(330, 480)]
     spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     meet = lambda a, b: abs(a[1] - b[1]) <= 3 and abs(a[0] % 40 - b[0] % 40) <= 1
     want = sorted((a[0], b[0]) for a in parts for b in parts if a[0] < b[0] and meet(a, b))
-    assert sorted(tuple(r) for r in QUERIES["b04_overlaps_all"](spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in QUERIES["b04_overlaps"](spark, str(tmp_path)).collect()) == want
 
 
 def test_orphans_by_the_links_of_all_pages(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_orphans_by_the_links_of_all_pages(spark, tmp_path):
     html = {0: link("c1"), 9: link("c0"), 10: link("c2"), 1234: link("c3") + link("c4")}
     ids = [0, 1, 2, 3, 4, 5, 9, 10, 1234]
     spark.createDataFrame([(k, f"https://h.example/a/c{k}?q=1", html.get(k, "")) for k in ids], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
-    out = sorted(r["name"] for r in QUERIES["f02_orphans_all"](spark, str(tmp_path)).collect())
+    out = sorted(r["name"] for r in QUERIES["f02_orphans"](spark, str(tmp_path)).collect())
     assert out == ["c10", "c1234", "c5", "c9"]  # c2, c3 and c4 have links from page10 and page1234 only
 
 
@@ -44,6 +44,6 @@ def test_slugs_of_whole_texts(spark, tmp_path):
     head = "The same first words, many of them, for more than sixty characters: "
     rows = [(1, head + "Straße No. 1"), (2, head + "two!"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r["doc_id"]: r["slug"] for r in QUERIES["c15_c16_slug_id_all"](spark, str(tmp_path)).collect()}
+    out = {r["doc_id"]: r["slug"] for r in QUERIES["c15_c16_slug_id"](spark, str(tmp_path)).collect()}
     start = "the-same-first-words-many-of-them-for-more-than-sixty-characters-"
     assert out == {1: start + "straße-no-1", 2: start + "two", 3: None}
