@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +90,43 @@ def longest_fence(text: Column) -> Column:
     """Lines of the longest fenced block."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^\s{0,3}```[^\n]*\n(.*?)^\s{0,3}```[ \t]*$"), F.lit(1))
     return F.coalesce(F.array_max(F.transform(blocks, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))), F.lit(0))
+
+
+#: Our names for the blocks of a Markdown text.
+BLOCKS = "array<struct<kind:string,line:int,text:string>>"
+
+
+@F.pandas_udf(BLOCKS)
+def markdown_blocks(text: pd.Series) -> pd.Series:
+    """Headings, pipe tables and HTML tables in their order, with the line where each begins; not those in fenced code, comments, styles or scripts."""
+    hidden = re.compile(r"(?ms)^\s{0,3}(```|~~~).*?^\s{0,3}\1[ \t]*$|<!--.*?-->|<(style|script)\b.*?</\2\s*>", re.I)
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    mark = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
+
+    def scan(raw: str | None) -> list[dict]:
+        if raw is None:
+            return []
+        raw = raw.replace("\r\n", "\n")
+        lines, masked, out, k = raw.split("\n"), hidden.sub(blank, raw).split("\n"), [], 0
+        while k < len(lines):
+            line = masked[k]
+            if re.match(r"^#{1,6}[ \t]+\S", line):
+                out.append({"kind": "heading", "line": k + 1, "text": re.sub(r"[ \t]+#*[ \t]*$", "", line.lstrip("#")).strip()})
+                k += 1
+            elif "|" in line and k + 1 < len(lines) and "-" in masked[k + 1] and mark.match(masked[k + 1]):
+                end = k + 2
+                while end < len(lines) and "|" in masked[end]:
+                    end += 1
+                out.append({"kind": "pipe", "line": k + 1, "text": "\n".join(lines[k:end])})
+                k = end
+            elif re.search(r"(?i)<table\b", line):
+                end = k
+                while end + 1 < len(lines) and not re.search(r"(?i)</table\s*>", masked[end]):
+                    end += 1
+                out.append({"kind": "html", "line": k + 1, "text": "\n".join(lines[k : end + 1]).strip()})
+                k = end + 1
+            else:
+                k += 1
+        return out
+
+    return text.map(scan)

@@ -105,6 +105,21 @@ def flat_headers(cells: DataFrame, spans: DataFrame, top: int, depth: int, sep:
     return levels.select("sheet", "col", F.array_join(names, sep).alias("header"))
 
 
+def header_runs(headers: DataFrame, sep: str = " / ") -> DataFrame:
+    """(level, first, last, label): flat headers (col, header) as rows again; neighbours of one label under the same labels above share a cell.
+
+    Headers of fewer levels stand in the lowest rows; a gap in the columns parts cells.
+    """
+    parts = headers.select("col", F.split("header", f"\\Q{sep}\\E").alias("_p"))
+    depth = parts.agg(F.max(F.size("_p")).alias("_depth"))
+    full = parts.join(F.broadcast(depth)).select("col", F.concat(F.array_repeat(F.lit(""), F.col("_depth") - F.size("_p")), "_p").alias("_p"))  # one row of depth
+    levels = full.select("col", F.posexplode("_p").alias("level", "label"), F.col("_p").alias("_all")).withColumn("_path", F.array_join(F.slice("_all", F.lit(1), F.col("level") + 1), "\x00"))
+    w = Window.partitionBy("level").orderBy("col")  # the columns of one region
+    new = F.coalesce((F.lag("_path").over(w) != F.col("_path")) | (F.col("col") - F.lag("col").over(w) > 1), F.lit(True))
+    runs = levels.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w))
+    return runs.groupBy("level", "_run").agg(F.min("col").alias("first"), F.max("col").alias("last"), F.first("label").alias("label")).drop("_run")
+
+
 def leaf(header: Column, sep: str = " / ") -> Column:
     return F.element_at(F.split(header, f"\\Q{sep}\\E"), -1)
 

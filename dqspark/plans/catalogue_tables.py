@@ -80,6 +80,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("col", "header", tables.leaf(F.col("header")).alias("leaf"))
 
 
+@query("b17_header_runs", """SELECT unnest([0, 0, 1, 1, 1, 1, 2, 2, 2, 2]) AS level, unnest([1, 4, 1, 2, 4, 5, 1, 2, 4, 5]) AS "first", unnest([2, 5, 1, 2, 4, 5, 1, 2, 4, 5]) AS "last",
+  unnest(['G', '', 'x', 'y', '', 'z', 'a', 'a', 'only', 'b']) AS label""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    headers = [(1, "G / x / a"), (2, "G / y / a"), (4, "only"), (5, "z / b")]
+    return tables.header_runs(spark.createDataFrame(headers, "col int, header string"))
+
+
 @query("b08_synthetic_names", "SELECT unnest([1, 2, 3]) AS col, unnest(['col_1', 'col_2', 'col_3']) AS name")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(tables.synthetic_headers(3), 1)), "col int, name string")
@@ -200,6 +207,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.shared(layers, "org")
 
 
+@query("f09_group_keys", """SELECT g AS "group", 'n' AS rule_id FROM (SELECT CASE WHEN c_custkey % 5 = 1 THEN NULL ELSE c_mktsegment END AS g FROM customer WHERE c_custkey % 5 <> 0) GROUP BY g HAVING NOT count(*) <= 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A row's group is told by a column of the same row: null is a group, rows with an error code as key are in none."""
+    segment = cases(F.col("c_custkey"), F.lit("#REF!"), F.lit(None).cast("string"), *[F.col("c_mktsegment")] * 3)
+    own = read(spark, d, "customer").select("c_custkey", "c_acctbal", segment.alias("segment"))
+    return run_rules(own, [Rule("n", "c_acctbal", "count_by:segment <= 1")], "customer", F.col("c_custkey")).select("group", "rule_id")
+
+
 @query("f10_time_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars::DOUBLE ELSE quality::DOUBLE END AS time_seconds FROM documents LEFT JOIN labels USING (doc_id)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     runs = read(spark, d, "documents").select("doc_id", "n_chars")

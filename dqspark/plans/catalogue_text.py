@@ -61,6 +61,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", folds.longest_fence(raw).alias("longest"))
 
 
+@query("a09_markdown_blocks", """SELECT p_partkey, 'heading' AS kind, 1 AS line, p_name AS text FROM part UNION ALL SELECT p_partkey, 'pipe', 7, '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || p_size || ' | x |' FROM part
+UNION ALL SELECT p_partkey, 'html', 11, '<table><tr><td>' || p_brand || '</td></tr>' || chr(10) || '</table>' FROM part UNION ALL SELECT p_partkey, 'heading', 13, 'Last' FROM part""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    doc = lit_concat("# ", F.col("p_name"), " ##\n```\n# no\n| a |\n|---|\n```\n| a | b |\n|---|:-:|\n| ", F.col("p_size"), " | x |\n<!-- ## hidden -->\n<table><tr><td>", F.col("p_brand"), "</td></tr>\n</table>\n### Last\na - b")
+    return read(spark, d, "part").select("p_partkey", F.inline(folds.markdown_blocks(doc)))
+
+
 @query("i26_clean_cues", """SELECT p_partkey, p_name || ' & "' || p_brand || '"' AS cue FROM part""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     raw = lit_concat("<00:00:01.000><c> ", F.col("p_name"), "</c> \n &amp;&nbsp;&quot;", F.col("p_brand"), "&quot; ")
