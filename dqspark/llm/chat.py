@@ -11,7 +11,8 @@ after escaping, a "<" followed by exactly one backslash is always an escape.
 
 Rows are ordered by turn, rows of one turn by role and text; a null turn comes first. Null
 roles and texts are empty. Rows without conv_id form a conversation of their own. Further
-columns are left out; an empty table gives an empty result.
+columns are left out; an empty table gives an empty result. A conversation's turns are
+gathered in one row, and its examples together grow with the square of their number.
 """
 
 from __future__ import annotations

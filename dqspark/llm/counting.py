@@ -114,7 +114,7 @@ def cut_again(packed: DataFrame, bits: int, parts: int, dtypes: list[type], merg
         give_back()
 
     salt = F.pmod(F.xxhash64("blob"), F.lit(-(-parts >> coarse) + 1))
-    return packed.repartition(parts, "r", salt).mapInArrow(run, RANGE)
+    return packed.repartition(max(parts, 1), "r", salt).mapInArrow(run, RANGE)
 
 
 def count_keys(

@@ -27,7 +27,8 @@ thus has fewer members than that limit.
 Nulls, empty texts and texts without words have no token and are linked with nothing. A
 text of fewer words than a shingle has one token, the whole sequence. Repeated rows are
 linked with each other; a null doc_id keeps its row and never names a component unless
-there is no other. Further columns are left out; an empty table gives an empty result.
+there is no other. doc_ids are integers, other types are refused. Further columns are left
+out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from dqspark.llm import bloom
 from dqspark.llm.common import cut, give_back, small_batches, stored
@@ -367,6 +369,8 @@ def _components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, s: Similarity) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) for each row of documents."""
+    if not isinstance(documents.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys, counts, _ = frequent_tokens(docs, s)

@@ -152,6 +152,11 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sorted_rows(out) == sorted_rows(near_duplicates(rows, 3, 90, 100))
 
 
+def test_near_duplicates_have_integer_ids(spark):
+    with pytest.raises(TypeError):
+        jaccard.near_duplicates(spark.createDataFrame([("a", "x y z")], "doc_id string, text string"), jaccard.Similarity())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [(1, "a")]).where("false"), jaccard.Similarity()).collect() == []
     assert sorted_rows(jaccard.near_duplicates(frame(spark, [(1, None), (2, "")]), jaccard.Similarity()).collect()) == [(1, 0, 1), (2, 0, 2)]
@@ -459,6 +464,14 @@ def test_prefix_targets(spark):
     assert chat.examples(rows.where("false")).collect() == []
 
 
+def test_prefix_targets_of_a_very_long_conversation(spark):
+    turns = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(401)]
+    made = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert made.where("target is not null").count() == 200
+    got = chat.digests(made).collect()[0]
+    assert tuple(got)[1:] [:5] == turns_digest([(r, t) for *_, r, t in turns])
+
+
 # hashes are never taken for texts
 
 

@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     docs += [(600 + k, " ".join(w + "###" for w in natural(rng, 100).split(" "))) for k in range(40)]
     path = tmp_path_factory.mktemp("tables")
     schema = "doc_id long, text string"
-    spark.createDataFrame(docs, schema).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "kept": F.lit("clash")}).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(docs, schema).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "kept": F.lit("clash"), "_own": F.lit("o"), "_text": F.lit("t"), "score": F.lit(-1.0), "predicted": F.lit(0), "_tied": F.lit(None).cast("string")}).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     labels = [(i, 1, 0) for i in range(120)] + [(600 + k, 0, 0) for k in range(40)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -55,6 +55,19 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in last} == kept and all(r["round_trip"] for r in last)
 
 
+def test_rows_of_one_id_go_together_and_rows_without_stay(spark, folder):
+    path, docs = folder
+    rng = random.Random(12)
+    text, other, item = natural(rng, 100), natural(rng, 100), docs[400]
+    rows = [(1, text), (2, text), (2, other), (None, text), (None, item), (3, item), (3, other), (4, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted(corpus_pipeline.near_duplicates(spark, table, path).collect(), key=repr)
+    # a row of 2 is a copy of 1, one of 3 a copy of the other row of 2: all rows of such an id go, nameless ones stay
+    assert [r["doc_id"] for r in near if r["doc_id"] is not None] == [1, 4] and sum(r["doc_id"] is None for r in near) == 2
+    clean = [r["doc_id"] for r in corpus_pipeline.decontamination(spark, table, path).collect()]
+    assert sorted(clean, key=repr) == sorted([1, 2, 2, None, None, 4], key=repr)
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     path, _ = folder
     assert corpus_pipeline.run(spark, path).count() > 100
