@@ -52,6 +52,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Removes all scratch paths of this application; tables that were read from them can no longer be."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/dqspark/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def put_file(spark: SparkSession, path: str, content: str | bytes) -> None:
     """Writes a small file on any file system of Spark's: aside first, then renamed, so that readers see all of it or nothing."""
     jvm = spark.sparkContext._jvm
