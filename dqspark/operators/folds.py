@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ladder(df: DataFrame, by: list[str], rank: Column, columns: list[str]) -> DataFrame:
@@ -93,7 +94,7 @@ def longest_fence(text: Column) -> Column:
 
 
 #: Our names for the blocks of a Markdown text.
-BLOCKS = "array<struct<kind:string,line:int,text:string>>"
+BLOCKS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
 @F.pandas_udf(BLOCKS)
