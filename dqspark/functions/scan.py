@@ -1,13 +1,15 @@
 """Content scanning: risky commands, injections, credentials, personal data, hidden payloads.
 
 Patterns stay inside the syntax that Java, RE2 and Python share, so the same ones serve
-Spark and an SQL check elsewhere.
+Spark and an SQL check elsewhere. They mean what RE2 means by them: words and white space of
+ASCII, cases folded in all of Unicode; for Spark they are put into Java's terms (Pattern.java).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,46 @@ class Pattern:
     regex: str
     needs: tuple[str, ...] = ()
 
+    @cached_property
+    def java(self) -> str:
+        return as_java(self.regex)
+
+
+#: Parts of a pattern, from the left: escapes, marks of groups, brackets of classes, ranges, single characters.
+_PART = re.compile(r"\\.|\(\?[:i]\)?|\[\^?|\]|[a-zA-Z0-9]-[a-zA-Z0-9](?=[^\[]*\])|.", re.S)
+_BOUNDARY = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: Letters beyond ASCII that differ only in case from one within.
+_FOLDED = {"k": "\u212a", "s": "\u017f"}
+
+
+def _leads(rest: str, fold: bool) -> bool:
+    """Whether a pattern begins with a letter or digit of ASCII in each of its first alternatives; if not sure, no."""
+    char = "[A-JL-RT-Za-jl-rt-z0-9_]" if fold else "[A-Za-z0-9_]"
+    char = char if fold else rf"(?:{char}|\[(?:{char}-{char}|{char})+\])"
+    group = re.match(r"\(\?:((?:[^()\\]|\\.)*)\)(?![?*{])", rest)
+    return all(re.match(rf"(?:{char}[?*])*{char}(?![?*{{])|{char}\{{[1-9]", head) for head in (group[1].split("|") if group else [rest]))
+
+
+def as_java(regex: str) -> str:
+    """The Java pattern that matches where RE2 matches this one: Java's \\b knows letters beyond ASCII, its \\s the vertical tab, its dot four more line ends, its (?i) ASCII only."""
+    parts, fold, out, within = _PART.findall(regex), regex.startswith("(?i)"), [], False
+    for k, part in enumerate(parts):
+        if within and part == "]" or not within and part in ("[", "[^"):
+            within = not within
+        elif part == r"\b":
+            # before a letter or digit, half of it says all
+            part = "(?<![A-Za-z0-9_])" if _leads("".join(parts[k + 1 :]), fold) else _BOUNDARY
+        elif part == r"\s":
+            part = r"\t\n\f\r " if within else r"[\t\n\f\r ]"
+        elif part == "." and not within:
+            part = r"[^\n]"
+        elif fold and within and len(part) == 3 and part[1] == "-":
+            part += "".join(f for c, f in _FOLDED.items() if part[0].lower() <= c <= part[2].lower())
+        elif fold and part.lower() in _FOLDED:
+            part = part + _FOLDED[part.lower()] if within else f"[{part}{_FOLDED[part.lower()]}]"
+        out.append(part)
+    return "".join(out)
+
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -103,35 +145,39 @@ ALL = (*SHELL, *KEYWORDS, *INJECTION, *PERSONAL, *SECRETS)
 LONG_LINE, ENTROPY_CHARS, ENTROPY_BITS = 500, 50, 5.8
 
 
+def folded(text: Column) -> Column:
+    """In lower case, the long s too."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
 def may_match(lower: Column, p: Pattern) -> Column:
-    """Whether a text, given in lower case, holds a word that the pattern needs."""
+    """Whether a text, given in lower case by folded(), holds a word that the pattern needs."""
     return reduce(lambda a, b: a | b, [lower.contains(n) for n in p.needs], F.lit(False)) if p.needs else F.lit(True)
 
 
 def matches(text: Column, p: Pattern, lower: Column | None = None) -> Column:
-    return may_match(F.lower(text) if lower is None else lower, p) & text.rlike(p.regex)
+    return may_match(folded(text) if lower is None else lower, p) & text.rlike(p.java)
 
 
 def counts(text: Column, patterns: tuple[Pattern, ...]) -> list[Column]:
     """The number of matches of each pattern, as columns named n_<name>."""
-    count = lambda p: F.when(may_match(F.lower(text), p), F.regexp_count(text, F.lit(p.regex)))
+    count = lambda p: F.when(may_match(folded(text), p), F.regexp_count(text, F.lit(p.java)))
     return [F.coalesce(count(p), F.lit(0)).cast("long").alias("n_" + p.name.replace(" ", "_")) for p in patterns]
 
 
 def first_line(text: Column, regex: str) -> Column:
-    """Line number (from 1) of the first match, null without one."""
-    at = F.regexp_instr(text, F.lit(regex))
-    before = F.substring(text, F.lit(1), at - 1)
-    return F.when(at > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1)
+    """Line number (from 1) of the first match of a Java pattern that matches no empty text, null without one."""
+    # places are told in UTF-16 units, which substring() does not count: the text is split instead
+    return F.when(text.rlike(regex), F.regexp_count(F.get(F.split(text, regex, 2), F.lit(0)), F.lit("\n")) + 1)
 
 
 def issues(df: DataFrame, key: str, text: str, patterns: tuple[Pattern, ...] = ALL) -> DataFrame:
     """(key, name, category, severity, line): one for each pattern that a document matches, in one scan."""
-    own = df.select(key, F.col(text).alias("_t"), F.lower(text).alias("_l"))
+    own = df.select(key, F.col(text).alias("_t"), folded(F.col(text)).alias("_l"))
     found = [
         F.when(
             matches(F.col("_t"), p, F.col("_l")),
-            F.struct(F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.severity).alias("severity"), first_line(F.col("_t"), p.regex).cast("long").alias("line")),
+            F.struct(F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.severity).alias("severity"), first_line(F.col("_t"), p.java).cast("long").alias("line")),
         )
         for p in patterns
     ]

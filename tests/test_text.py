@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from dqspark.functions import captions, html, scan, text
@@ -54,6 +55,23 @@ def test_fences(spark):
     assert one(spark, md, folds.longest_fence) == 1
 
 
+def test_scan_patterns_mean_what_they_mean_in_sql(spark):
+    texts = {
+        1: "el ñdoas con", 2: "x\n\u00fdsudo a", 3: "nada\nrm\u000b-rf /", 4: "é1.2.3.4é", 5: "acc\u00e94111 1111 1111 1111", 6: "a RAN\u017fOMWARE bac\u212adoor",
+        7: "\U0001f600" * 9 + " eval\n(x)\n\n", 8: "without user\u2028s consent", 9: "without user\ns consent", 10: "bearer abcdefghij\u017fjihgfedcba", 11: "sudo é", 12: "", 13: None, 14: " \u017fteal tokens", 15: "a\u017fteal to\u212aens",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "id long, t string")
+    got = [(r["id"], r["name"], r["line"]) for r in scan.issues(docs, "id", "t").collect()]
+    want = [(1, "raised privileges", 1), (2, "raised privileges", 2), (4, "ipv4", 1), (5, "card number", 1), (6, "backdoor", 1), (6, "ransom", 1), (7, "evaluated text", 1), (8, "hidden action", 1), (10, "bearer token", 1), (15, "credential theft", 1)]
+    assert sorted(got) == want
+    duckdb = pytest.importorskip("duckdb")
+    own = {r["id"]: r["n_ipv4"] for r in docs.select("id", *scan.counts(F.col("t"), scan.PERSONAL)).collect()}
+    for p in scan.ALL:
+        hits = {k for k, t in texts.items() if t and duckdb.execute("SELECT regexp_matches(?, ?)", [t, p.regex]).fetchone()[0]}
+        assert {r["id"] for r in docs.where(scan.matches(F.col("t"), p)).collect()} == hits == {k for k, name, _ in want if name == p.name}
+    assert own[4] == 1 and sum(own.values()) == 1
+
+
 def test_html(spark):
     page = "<html><head><title>T x</title><script>s</script></head><body><nav>menu</nav><article><h1>Head</h1><p>some <b>bold</b> text " + "w " * 60 + "</p><table><tr><th colspan=2>h</th></tr><tr><td>1</td><td>2</td></tr></table></article></body></html>"
     out = one(spark, page, html.reader_markdown)
